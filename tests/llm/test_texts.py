@@ -1,0 +1,140 @@
+import itertools
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import crf_quality, line_rules, queries, secrets
+from tests.llm import brute
+from tests.llm.conftest import DOCUMENTS
+
+
+def test_counts(spark, hard_documents, empty_documents):
+    clash = hard_documents.withColumn("w", F.lit(1)).withColumn("lines", F.lit("x")).withColumn("row", F.lit(2)).withColumn("lost", F.lit(3))
+    got = line_rules.judge_documents(clash).collect()
+    want = [(d["doc_id"], *brute.word_counts(d["text"] or "")) for d in hard_documents.collect()]
+    assert sorted((tuple(r[:7]) for r in got), key=str) == sorted(want, key=str)
+    assert line_rules.judge_documents(empty_documents).collect() == []
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, 0) for i, (s, t) in enumerate(rows)], DOCUMENTS).repartition(3)
+
+
+def prose(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def test_line_frequency(spark):
+    """Boilerplate goes, and documents of little else; copies and near copies stay; hosts are apart."""
+    rnd = random.Random(8)
+    menu, notice = prose(rnd, 30), prose(rnd, 15)
+    rows = [("a", f"{prose(rnd, 3)}\n{menu.upper()}\n{notice}") for _ in range(6)]  # 3 of 48 words are left
+    rows += [("a", f"{prose(rnd, 200)}\n{menu}\n {notice}") for _ in range(40)]  # 200 of 245 are left
+    rows += [("b", f"{prose(rnd, 3)}\n{menu}") for _ in range(5)]  # few in this host
+    whole = [prose(rnd, 40) for _ in range(3)]
+    rows += [("a", "\n".join(whole)) for _ in range(40)]  # copies
+    for k in range(40):  # near copies
+        rows.append(("a", "\n".join(x.replace(x.split()[k % 40], f"new{k}") if i == k % 3 else x for i, x in enumerate(whole[::-1]))))
+    got = {r["doc_id"]: r["kept"] for r in line_rules.judge_documents(documents(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == [False] * 6 + [True] * (len(rows) - 6)
+
+
+def test_drop_rejected_matches_rows(spark, hard_documents):
+    judged = line_rules.judge_documents(hard_documents)
+    left = line_rules.drop_rejected(hard_documents, judged)
+    assert left.columns == hard_documents.columns
+    want = [r["doc_id"] for r in judged.where("kept").collect()]
+    assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted(want, key=str)
+
+
+def test_base_secrets(spark, hard_documents, empty_documents):
+    clash = hard_documents.withColumn("secret_spans", F.lit(1)).withColumn("__base", F.lit(2)).drop("__base")
+    got = secrets.find_secrets(clash).select("doc_id", "text", secrets.spans_text(F.col("secret_spans")).alias("spans")).collect()
+    for r in got:
+        spans = [x for x in r["spans"].split(",") if x]
+        assert [x for x in spans if not x.startswith("entropy")] == brute.base_secrets(r["text"] or "")
+    entropy = {(r["text"] or "")[int(x.split(":")[1]) : int(x.split(":")[2])] for r in got for x in r["spans"].split(",") if x.startswith("entropy")}
+    assert entropy == {"q7Xk2Vb9Zt4Lm8Rw3Ys6Hd1"} | {x for x in entropy if x.startswith("deadbeef")} or "q7Xk2Vb9Zt4Lm8Rw3Ys6Hd1" in entropy
+    assert not any("path/to" in x or "123e4567" in x for x in entropy)
+    assert secrets.find_secrets(empty_documents).collect() == []
+
+
+def test_secret_patterns_by_brute_force(spark):
+    rnd = random.Random(9)
+    parts = ["password", "TOKEN", "api_key", "ApiKey", "=", ":", " ", '"', "'", "abcdefabcdef", "0123456789abcdef", "AKIA", "AKIAQWERTYUIOPASDF", "Zz9+/_.=-", "-", "\n", "é", "😀", "a", "secret"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 25))) for _ in range(800)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = queries_spans(df)
+    for i, t in enumerate(texts):
+        assert [x for x in got[i] if not x.startswith("entropy")] == brute.base_secrets(t), t
+
+
+def queries_spans(df):
+    rows = secrets.find_secrets(df).select("doc_id", secrets.spans_text(F.col("secret_spans")).alias("s")).collect()
+    return {r["doc_id"]: [x for x in r["s"].split(",") if x] for r in rows}
+
+
+def test_sliding_entropy(spark):
+    rnd, alphabet = random.Random(10), "abcdef0123456789"
+    texts = ["".join(rnd.choice(alphabet[: rnd.randint(1, 16)]) for _ in range(rnd.randint(1, 60))) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def entropy(s):
+        return -sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s))
+
+    for r in df.select("t", secrets.max_entropy(F.col("t"), alphabet, 20).alias("h")).collect():
+        t = r["t"]
+        want = max(entropy(t[i : i + 20]) for i in range(max(1, len(t) - 19)))
+        assert r["h"] == pytest.approx(want, abs=1e-9)
+
+
+def test_redact(spark):
+    text = "é password=abcdefghijkl0123 then 0123456789abcdef0123 😀"
+    df = spark.createDataFrame([(1, text, len(text)), (2, None, None), (3, "plain", 5)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(secrets.find_secrets(df)).collect()}
+    assert got[1] == ("é [SECRET] then [SECRET] 😀", len("é [SECRET] then [SECRET] 😀"))
+    assert got[2] == (None, None) and got[3] == ("plain", 5)
+
+
+def test_forward_backward_by_enumeration():
+    rnd = np.random.default_rng(11)
+    lengths, links = np.array([3, 1, 5, 2]), rnd.normal(size=(2, 2))
+    unary = rnd.normal(size=lengths.sum())
+    log_z, good, pair = crf_quality.marginals(unary, lengths, links)
+    at, expected = 0, np.zeros((2, 2))
+    for k, n in enumerate(lengths):
+        weights = {}
+        for y in itertools.product((0, 1), repeat=n):
+            weights[y] = math.exp(sum(unary[at + i] for i in range(n) if y[i]) + sum(links[a, b] for a, b in zip(y, y[1:], strict=False)))
+        z = sum(weights.values())
+        assert log_z[k] == pytest.approx(math.log(z))
+        for i in range(n):
+            assert good[at + i] == pytest.approx(sum(w for y, w in weights.items() if y[i]) / z)
+        for y, w in weights.items():
+            for a, b in zip(y, y[1:], strict=False):
+                expected[a, b] += w / z
+        at += n
+    assert pair == pytest.approx(expected)
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    scored = queries.op5_quality(spark, sf)
+    rows = scored.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert len(rows) > 80 and sum(r["predicted"] == r["quality"] for r in rows) >= 0.95 * len(rows)
+
+
+def test_quality_edges(spark, hard_documents, empty_documents):
+    labels = spark.createDataFrame([(2, 1, 0), (2, 0, 0), (3, 0, 0), (None, 1, 0), (4, None, 0), (7, 1, 1), (9, 0, 0)], "doc_id long, quality int, toxic int")
+    model = crf_quality.fit_quality(hard_documents, labels)
+    clash = hard_documents.withColumn("score", F.lit("x")).withColumn("label", F.lit("y"))
+    rows = crf_quality.score_quality(clash, model).collect()
+    assert len(rows) == hard_documents.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    assert crf_quality.score_quality(empty_documents, model).collect() == []
+    none = crf_quality.fit_quality(hard_documents, labels.limit(0))
+    assert all(r["score"] == pytest.approx(0.5) for r in crf_quality.score_quality(hard_documents, none).collect())
+    one = crf_quality.fit_quality(hard_documents, labels.where("quality = 1"))
+    assert min(r["score"] for r in crf_quality.score_quality(hard_documents, one).collect()) > 0.9
