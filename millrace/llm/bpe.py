@@ -60,7 +60,7 @@ class BpeTransducer:
     ``max_states`` bounds the determinised part that is kept. Empty input gives no ids.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {i: t for t, i in ranks.items()}
         self._step: dict[int, int] = {}
@@ -145,28 +145,34 @@ class BpeTransducer:
         return ok
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        places = []
+        places, step, ends, inner, fits = [], self._step, self._ends, self._inner, self._fits
         for last, node, unsent in self._states[state]:
-            to = self._step.get(node << 8 | byte)
+            to = step.get(node << 8 | byte)
             if to is None:
                 continue
-            if to in self._inner:
+            if to in inner:
                 places.append((last, to, unsent))
-            token = self._ends.get(to)
-            if token is not None and (self.compatible(last, token) if last >= 0 else self._spine(token) is not None):
-                places.append((token, 0, (*unsent, token)))
+            token = ends.get(to)
+            if token is not None:
+                fit = fits.get((last, token))
+                if fit is None:
+                    fit = self.compatible(last, token) if last >= 0 else self._spine(token) is not None
+                if fit:
+                    places.append((token, 0, (*unsent, token)))
         if not places:
             raise ValueError("the ranks lack a byte of the input")
         sent = places[0][2]
-        for _, _, unsent in places[1:]:
-            n = 0
-            for x, y in zip(sent, unsent, strict=False):
-                if x != y:
-                    break
-                n += 1
-            sent = sent[:n]
+        for _, _, unsent in places:
+            if not sent:
+                break
+            if unsent[: len(sent)] != sent:
+                n = 0
+                while n < len(unsent) and unsent[n] == sent[n]:
+                    n += 1
+                sent = sent[:n]
         n = len(sent)
-        key = tuple(sorted((last, node, unsent[n:]) for last, node, unsent in places))
+        # places come in the order of their start, so equal sets nearly always are equal tuples
+        key = tuple((last, node, unsent[n:]) for last, node, unsent in places) if n else tuple(places)
         to = self._ids.get(key)
         if to is None:
             to = self._ids[key] = len(self._states)
