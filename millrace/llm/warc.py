@@ -208,6 +208,7 @@ def read_warc(index: DataFrame, keep_payload: bool = False) -> DataFrame:
         cols = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names[: len(cols)])
 
-    files = index.groupBy("file").agg(F.count("*").alias("n")).select("file")
+    # written first: a repartition right after the aggregation would merge with its exchange and be coalesced to few tasks
+    files = written(index.select("file").distinct(), "warc-files")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * keep_payload
-    return files.repartition(shuffle_partitions(index.sparkSession), "file").mapInArrow(run, schema)
+    return files.repartition(shuffle_partitions(index.sparkSession), F.xxhash64("file")).mapInArrow(run, schema)
