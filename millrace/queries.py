@@ -339,13 +339,13 @@ def cdc_join_view(spark, sf):
     return out.select("event_id", "user_id", "op")
 
 
-@query("""SELECT event_id, lower(upper(event_type)) AS low, split_part(event_type || chr(9) || user_id, chr(9), 1) AS first, TRY_CAST(CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE event_type END AS BIGINT) AS parsed, (epoch_us(ts) // 1000) AS ms,
+@query("""SELECT event_id, lower(upper(event_type)) AS low, split_part(event_type || chr(9) || user_id, chr(9), 1) AS first, coalesce(TRY_CAST(CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE event_type END AS BIGINT), -1) AS parsed, (epoch_us(ts) // 1000) AS ms,
   make_timestamp((epoch_us(ts) // 1000) * 1000) AS back, base64(encode(event_type)) AS b64, decode(from_base64(base64(encode(event_type)))) AS unb64, json_extract_string(props, '$.k') AS k,
   lpad(lower(hex(event_id)), 16, '0') AS be, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS rfc FROM events""")
 def scalar_functions(spark, sf):
     kind = F.col("event_type")
     return events(spark, sf).select(
-        "event_id", F.lower(F.upper(kind)).alias("low"), F.split_part(F.concat_ws("\t", kind, "user_id"), F.lit("\t"), F.lit(1)).alias("first"), F.when(F.col("event_id") % 2 == 0, F.col("user_id").cast("string")).otherwise(kind).try_cast("long").alias("parsed"),
+        "event_id", F.lower(F.upper(kind)).alias("low"), F.split_part(F.concat_ws("\t", kind, "user_id"), F.lit("\t"), F.lit(1)).alias("first"), F.coalesce(F.when(F.col("event_id") % 2 == 0, F.col("user_id").cast("string")).otherwise(kind).try_cast("long"), F.lit(-1).cast("long")).alias("parsed"),
         fn.millis("ts").alias("ms"), F.timestamp_millis(fn.millis("ts")).cast("timestamp_ntz").alias("back"), F.base64(F.encode(kind, "utf-8")).alias("b64"),
         F.decode(F.unbase64(F.base64(F.encode(kind, "utf-8"))), "utf-8").alias("unb64"), F.get_json_object("props", "$.k").alias("k"), F.lower(F.hex(fn.big_endian("event_id"))).alias("be"),
         fn.rfc3339(F.date_trunc("second", "ts")).alias("rfc"),
