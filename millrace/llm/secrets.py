@@ -26,6 +26,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 
+CHUNK, _NONE = 128, (1 << 31) - 1
+
 
 @dataclass(frozen=True)
 class CharClass:
@@ -53,22 +55,65 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _scan(values: Column, combine, zero: int) -> Column:
+    """Running results of an associative ``combine`` over an array of ints.
+
+    Appending to an array copies it, so values are run through in chunks and the chunks' results are
+    put on top: the work for a text with very many spans stays near linear.
+    """
+    start = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def within(chunk: Column) -> Column:
+        return F.aggregate(chunk, start, lambda acc, x: _let(combine(acc["at"], x), lambda v: F.struct(v.alias("at"), F.concat(acc["out"], F.array(v)).alias("out"))))
+
+    def joined(chunks: Column) -> Column:
+        bases = F.aggregate(chunks, start, lambda acc, c: F.struct(combine(acc["at"], c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(chunks, bases, lambda c, b: F.transform(c["out"], lambda v: combine(b, v))))
+
+    return _let(values, lambda all_values: _let(F.transform(_chunks(all_values), within), joined))
+
+
+def _chunks(values: Column) -> Column:
+    """The array in slices of ``CHUNK``; an empty one is one empty slice."""
+    last = F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / CHUNK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(values, i * CHUNK + 1, F.lit(CHUNK)))
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _spans(text: Column, pattern: str, keep: tuple[int, int] | None = None) -> Column:
-    """Array of (start, end) of the leftmost non-overlapping matches; ``keep``: (group, least length)."""
+    """Array of (s, e, m) of the leftmost non-overlapping matches, m the matched string; ``keep``: (group, least length)."""
     full = F.regexp_extract_all(text, F.lit(pattern), 0)
-    parts = F.split(text, pattern, -1)
-    size = F.transform(F.regexp_extract_all(text, F.lit(pattern), keep[0]), F.length) if keep else F.transform(full, lambda m: F.lit(1))
-    rows = F.zip_with(F.zip_with(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), full, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"))), size, lambda x, n: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), n.alias("n")))
-    least = keep[1] if keep else 0
-    none = F.array().cast("array<struct<s:int,e:int>>")
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    size = F.transform(F.regexp_extract_all(text, F.lit(pattern), keep[0]), F.length) if keep else F.transform(full, F.length)
+
+    def placed(matches: Column) -> Column:
+        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: g + F.length(m))
+        return F.zip_with(matches, _scan(steps, _add, 0), lambda m, end: F.struct((end - F.length(m)).alias("s"), end.alias("e"), m.alias("m")))
+
+    found = _let(full, placed)
+    if keep:
+        sized = F.zip_with(found, size, lambda x, n: F.struct(x.alias("x"), n.alias("n")))
+        found = F.transform(F.filter(sized, lambda y: y["n"] >= keep[1]), lambda y: y["x"])
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + x["len"]
-        return F.struct(end.alias("at"), F.when(x["n"] >= least, F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"))))).otherwise(acc["out"]).alias("out"))
+def _apart(spans: Column, base: Column) -> Column:
+    """Those of ``spans`` that touch none of ``base``: in order of starts, by the greatest end of base
+    spans so far and the least start of those to come."""
 
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    def tagged(xs: Column, own: int) -> Column:
+        return F.transform(xs, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(own).alias("own"), (x["m"] if own else F.lit("")).alias("m")))
+
+    def compared(rows: Column) -> Column:
+        before = _scan(F.transform(rows, lambda x: F.when(x["own"] == 0, x["e"]).otherwise(F.lit(0))), F.greatest, 0)
+        after = F.reverse(_scan(F.reverse(F.transform(rows, lambda x: F.when(x["own"] == 0, x["s"]).otherwise(F.lit(_NONE)))), F.least, _NONE))
+        clear = F.zip_with(F.zip_with(rows, before, lambda x, b: F.when((x["own"] == 1) & (b <= x["s"]), x)), after, lambda x, a: F.when(a >= x["e"], x))
+        return F.transform(F.filter(clear, lambda x: x.isNotNull()), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
+
+    return F.when((F.size(base) == 0) | (F.size(spans) == 0), spans).otherwise(_let(F.sort_array(F.concat(tagged(base, 0), tagged(spans, 1))), compared))
 
 
 def max_entropy(text: Column, alphabet: str, window: int) -> Column:
@@ -130,11 +175,7 @@ def _entropy_spans(text: Column, base: Column, rules: EntropyRules) -> Column:
             allowed = allowed | s.rlike(p)
         return F.when(allowed, F.lit(False)).otherwise(fits)
 
-    def judged(spans: Column) -> Column:
-        clear = F.filter(spans, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-        return F.filter(clear, lambda x: secret(F.substring(text, x["s"] + 1, x["e"] - x["s"])))
-
-    return _let(_spans(text, pattern), judged)
+    return F.filter(_let(_spans(text, pattern), lambda spans: _apart(spans, base)), lambda x: secret(x["m"]))
 
 
 def find_secrets(documents: DataFrame, rules: EntropyRules | None = None) -> DataFrame:
@@ -169,13 +210,20 @@ def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Rows without spans, null texts among them, stay as they are.
     """
     text, spans = F.col("text"), F.col("secret_spans")
+    # (s, e, at): at is where the text goes on after all earlier spans
+    until = _scan(F.transform(spans, lambda x: x["e"]), F.greatest, 0)
+    rows = F.zip_with(spans, F.concat(F.array(F.lit(0)), until), lambda x, at: F.struct(x["s"].alias("s"), x["e"].alias("e"), at.alias("at")))
+
+    def chunk_text(chunk: Column) -> Column:
+        # one walk through the text for a chunk, then short ones within its part
+        first, last = F.try_element_at(chunk, F.lit(1))["at"], F.try_element_at(chunk, F.lit(-1))["s"]
+        part = text.substr(first + 1, F.greatest(last - first, F.lit(0)))
+        return _let(part, lambda p: F.array_join(F.transform(chunk, lambda x: F.when(x["s"] >= x["at"], F.concat(p.substr(x["at"] - first + 1, x["s"] - x["at"]), F.lit(mark))).otherwise("")), ""))
 
-    def step(acc, x):
-        apart = x["s"] >= acc["at"]
-        piece = F.concat(acc["out"], text.substr(acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(apart, piece).otherwise(acc["out"]).alias("out"))
+    def all_text(rows: Column) -> Column:
+        return F.array_join(F.transform(_chunks(rows), chunk_text), "")
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    done = F.concat(_let(F.filter(rows, lambda x: x["s"].isNotNull()), all_text), text.substr(F.array_max(until) + 1, F.length(text)))
     hit = F.size(spans) > 0
     out = found.select(*(F.when(hit, done).otherwise(text).alias("text") if c == "text" else F.col(c) for c in found.columns))
     out = out.select(*(F.when(hit, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in out.columns))

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -77,6 +78,53 @@ def queries_spans(df):
     return {r["doc_id"]: [x for x in r["s"].split(",") if x] for r in rows}
 
 
+def test_many_spans(spark):
+    """Texts with more spans than one chunk: all spans, the method's too, and their removal."""
+    rnd, rules = random.Random(12), secrets.EntropyRules()
+    word = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+
+    def piece():
+        size = rnd.randint(12, 40)
+        return rnd.choice(["password=" + "".join(rnd.choices(word, k=size)), "".join(rnd.choices("0123456789abcdef", k=size)), "".join(rnd.choices(word, k=size)), "AKIA" + "".join(rnd.choices("ABCXYZ0189", k=size)), "é😀ß prose"])
+
+    def entropy(s):
+        return max(-sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w)) for w in (s[i : i + rules.window] for i in range(max(1, len(s) - rules.window + 1))))
+
+    def all_spans(text):
+        spans = [(int(s), ("assign", "access", "hex").index(k), int(e)) for k, s, e in (x.split(":") for x in brute.base_secrets(text))]
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+            limit = next(c.limit for c in rules.classes if set(m[0]) <= set(c.alphabet))
+            if not any(s < m.end() and m.start() < e for s, kind, e in spans if kind < 3) and not any(re.search(p, m[0]) for p in rules.allow) and entropy(m[0]) >= limit:
+                spans.append((m.start(), 3, m.end()))
+        return sorted(spans)
+
+    def without(text, spans):
+        out, at = [], 0
+        for s, _, e in spans:
+            if s >= at:
+                out += [text[at:s], "[SECRET]"]
+            at = max(at, e)
+        return "".join(out) + text[at:]
+
+    texts = ["".join(piece() + rnd.choice(["", " ", "\n", "-"]) for _ in range(n)) for n in (1, 100, 127, 128, 129, 400, 1500) for _ in range(3)]
+    found = secrets.find_secrets(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    got = {r["doc_id"]: [(x["s"], x["kind"], x["e"]) for x in r["secret_spans"]] for r in found.collect()}
+    left = {r["doc_id"]: r["text"] for r in secrets.redact(found).collect()}
+    for i, t in enumerate(texts):
+        want = all_spans(t)
+        assert got[i] == want and left[i] == without(t, want)
+    assert max(map(len, got.values())) > 4 * secrets.CHUNK and any(k == 3 for spans in got.values() for _, k, _ in spans)
+
+
+def test_very_long_text(spark):
+    """The work grows with the number of spans, not with its square."""
+    n = 40_000
+    text = "password=abcdefghijkl " * n
+    found = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert found.select(F.size("secret_spans")).first()[0] == n
+    assert secrets.redact(found).first()["text"] == "[SECRET] " * n
+
+
 def test_sliding_entropy(spark):
     rnd, alphabet = random.Random(10), "abcdef0123456789"
     texts = ["".join(rnd.choice(alphabet[: rnd.randint(1, 16)]) for _ in range(rnd.randint(1, 60))) for _ in range(200)]
