@@ -98,6 +98,13 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def slices(batches, rows: int = 1024):
+    """Arrow batches in parts of at most ``rows`` rows, so that a Python worker holds the objects of one part."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_column(name: str = "text") -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

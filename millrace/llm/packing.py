@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_column, written
+from millrace.llm.common import slices, text_column, written
 from millrace.llm.pieces import encoder
 
 
@@ -170,7 +170,7 @@ def cut_documents(documents: DataFrame, tokenizer_path: str, capacity: int, end_
     def run(batches):
         end, tokens, seen = np.array([end_id], "<u4").tobytes(), encoder(tokenizer_path, str.split), defaultdict(int)
         part = TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, packed in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist()), strict=True):
                 packed += end

@@ -19,7 +19,7 @@ _tokenizers: dict[str, object] = {}
 class PieceEncoder:
     """``cut`` splits a usual text into pieces that the tokenizer encodes independently."""
 
-    def __init__(self, path: str, cut: Callable[[str], list[str]], max_memo: int = 1_000_000):
+    def __init__(self, path: str, cut: Callable[[str], list[str]], max_memo: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # an executor's cores are shared out by Spark
         from tokenizers import Tokenizer
 

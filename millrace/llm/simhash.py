@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shuffle_partitions, small_or_shuffled, text_column, written
+from millrace.llm.common import shuffle_partitions, slices, small_or_shuffled, text_column, written
 from millrace.llm.components import components
 
 BITS, SEED, CELL_ROWS, BATCH_ROWS = 64, 42, 512, 100_000
@@ -48,7 +48,7 @@ def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, text_hash, fp long) for each row; map-only. A null text is an empty one, with fingerprint 0."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
