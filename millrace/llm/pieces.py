@@ -17,15 +17,19 @@ _tokenizers: dict[str, object] = {}
 
 
 class PieceEncoder:
-    """``cut`` splits a usual text into pieces that the tokenizer encodes independently."""
+    """``cut`` splits a usual text into pieces that the tokenizer encodes independently.
 
-    def __init__(self, path: str, cut: Callable[[str], list[str]], max_memo: int = 200_000):
+    The memo has a young and an old half. When the young one has over ``max_memo`` pieces it becomes the
+    old one, and pieces met again are taken back from there, so that frequent pieces stay.
+    """
+
+    def __init__(self, path: str, cut: Callable[[str], list[str]], max_memo: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # an executor's cores are shared out by Spark
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._cut, self._max, self._memo = cut, max_memo, {}
+        self._cut, self._max, self._memo, self._old = cut, max_memo, {}, {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -42,8 +46,11 @@ class PieceEncoder:
                 out.append(b"".join(map(memo.__getitem__, pieces)))
             except KeyError:
                 if len(memo) > self._max:
-                    memo.clear()
-                new = [x for x in set(pieces) if x not in memo]
+                    self._memo, self._old = {}, memo
+                    memo = self._memo
+                lacking, old = set(pieces).difference(memo), self._old
+                memo.update((x, old[x]) for x in lacking if x in old)
+                new = [x for x in lacking if x not in old]
                 memo.update(zip(new, self._library(new), strict=True))
                 out.append(b"".join(map(memo.__getitem__, pieces)))
         return out

@@ -179,3 +179,18 @@ def test_queries(spark, small):
     assert queries.op1_bpe(spark, small).count() == docs
     assert queries.op4_tokens(spark, small).count() == docs
     assert queries.op8_packing(spark, small).select("doc_id").distinct().count() == docs
+
+
+def test_memo_of_pieces_rotates_without_changing_ids():
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from millrace.llm.pieces import PieceEncoder
+    from millrace.llm.queries import tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    texts = ["", "a", *(" ".join(f"w{i * k % 97}" for i in range(k % 23)) + " common" for k in range(200)), "na\u00efve \u4e2d\u6587"]
+    library = Tokenizer.from_file(path)
+    expected = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for most in (0, 5, 1000):
+        assert PieceEncoder(path, str.split, most).encode(texts) == expected
