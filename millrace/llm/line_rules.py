@@ -5,11 +5,11 @@ Across texts: normalised lines are hashed, and for each host the distinct docume
 counted. A line in more documents than the limit is removed; a document of which too little is left is
 rejected.
 
-Copies of one document aren't many documents. A document's signature is the least hash of its 8-word
-windows, which nearly all copies and near copies share; a line counts once for each signature, and it
-is removed only if most of the documents that have it are distinct in that sense. So a line goes if it
-stands in documents with much text of their own; documents alike in nearly all lines, which a later
-removal of near duplicates reduces to one, don't condemn each other.
+Copies of one document aren't many documents. Exact copies count once by their text's hash. Near copies
+are verified over the whole text: of the documents that hold a line in more than the limit, those that
+have one of their least 3-word shingles in common are compared, all shingles of one with all of the
+other, and similar ones count as one. Pages that share a template but have texts of their own are many
+documents.
 """
 
 from __future__ import annotations
@@ -20,18 +20,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import small_or_shuffled, text_column, written
+from millrace.llm.components import components
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
+#: Near copies: shingles of so many words, so many least ones by which documents meet, least Jaccard similarity.
+SHINGLE, MEET, NEAR = 3, 8, 0.8
 
 
 @dataclass(frozen=True)
 class LineRules:
     min_words: int = 20
     max_repeat_percent: int = 30
-    #: A line in more than so many distinct documents of a host, most of its documents being distinct, is removed.
+    #: A line in more than so many distinct documents of a host is removed.
     max_documents: int = 20
-    distinct_share: float = 0.5
     #: A document is rejected if less than this share of its words is left.
     least_left: float = 0.2
 
@@ -69,9 +71,9 @@ def normalised(line: Column) -> Column:
 
 
 def text_counts(documents: DataFrame, rules: LineRules, host: str = "source") -> DataFrame:
-    """A row for each document, without its text: counts, signature and lines (hash, words)."""
+    """A row for each document, without its text: counts and lines (hash, words)."""
     text = F.col("__text")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), text_column().alias("__text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _host(host).alias("host"), text_column().alias("__text"))
     rows = _border(rows, w=_words(text), lines=F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     n = F.size("w")
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("w"), i, F.lit(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
@@ -83,33 +85,92 @@ def text_counts(documents: DataFrame, rules: LineRules, host: str = "source") ->
         n.cast("long").alias("n_words"), word_chars.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("win")).cast("long").alias("n_repeat_words"),
-        F.coalesce(F.array_min("win"), F.xxhash64("w")).alias("signature"),
         F.transform("lines", lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.size(_words(x)).alias("n"))).alias("lines"),
     )
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     return counted.select("*", failed.alias("base_failed"), F.monotonically_increasing_id().alias("row"))
 
 
+def _host(host: str) -> Column:
+    return F.coalesce(F.col(host).cast("string"), F.lit(""))
+
+
+def _shingles(w: Column) -> Column:
+    """Sorted distinct 32-bit hashes of a text's shingles; a text of fewer words is one shingle."""
+
+    def hashed(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(h) - (SHINGLE - 1)), lambda i: F.hash(*(F.element_at(h, i + k) for k in range(SHINGLE))))
+
+    shingles = F.when(F.size(w) >= SHINGLE, _let(F.transform(w, lambda x: F.xxhash64(x)), hashed)).otherwise(F.array(F.hash(F.array_join(w, " "))))
+    return F.sort_array(F.array_distinct(shingles))
+
+
+def near_copies(documents: DataFrame, chosen: DataFrame, host: str = "source") -> DataFrame:
+    """(host, text_hash, copy_of) of those texts of ``chosen`` (host, text_hash, doc_id: one of its rows)
+    that have near copies among them.
+
+    Each text is compared with the text of the least hash among those that it shares a least shingle
+    with; links are by the Jaccard similarity of all shingles, and linked texts have one copy_of.
+    """
+    chosen = small_or_shuffled(written(chosen.select(F.col("host").alias("__h"), F.col("text_hash").alias("__t"), F.col("doc_id").alias("__d")), "busy-texts"))
+    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _host(host).alias("host"), F.xxhash64(text_column()).alias("text_hash"), text_column().alias("__text"))
+    found = keyed.join(chosen, (F.col("host") == F.col("__h")) & (F.col("text_hash") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
+    found = found.select("host", "text_hash", _shingles(_words(F.col("__text"))).alias("shingles"))
+    texts = written(found.dropDuplicates(["host", "text_hash"]), "shingles")
+    keys = texts.select("host", "text_hash", F.size("shingles").alias("n"), F.explode(F.slice("shingles", 1, MEET)).alias("key"))
+    first = keys.groupBy("host", "key").agg(F.min(F.struct("text_hash", "n")).alias("first"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+    # similar texts have shingles in a like number
+    like = F.least("n", "first.n") >= NEAR * F.greatest("n", "first.n")
+    pairs = keys.join(first, ["host", "key"]).where((F.col("text_hash") != F.col("first.text_hash")) & like)
+    pairs = written(pairs.select("host", "text_hash", F.col("first.text_hash").alias("first")).distinct(), "pairs")
+    others = texts.select("host", F.col("text_hash").alias("first"), F.col("shingles").alias("others"))
+    both = texts.join(small_or_shuffled(pairs), ["host", "text_hash"]).join(others.join(small_or_shuffled(written(pairs.select("host", "first").distinct(), "firsts")), ["host", "first"], "left_semi"), ["host", "first"])
+    shared = F.size(F.array_intersect("shingles", "others"))
+    alike = both.where(shared >= NEAR * (F.size("shingles") + F.size("others") - shared))
+
+    def node(text_hash: str) -> Column:
+        return F.xxhash64("host", text_hash)
+
+    roots = components(written(alike.select(node("text_hash").alias("a"), node("first").alias("b")), "near-copies"))
+    return texts.select("host", "text_hash", node("text_hash").alias("node")).join(roots, "node").select("host", "text_hash", F.col("root").alias("copy_of"))
+
+
+def removed_lines(documents: DataFrame, counts: DataFrame, rules: LineRules, host: str = "source") -> DataFrame:
+    """(host, h), written: the lines in more than ``max_documents`` distinct documents of their host."""
+    each = counts.select("host", "text_hash", "doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    each = each.groupBy("host", "text_hash", "h").agg(F.min("doc_id").alias("doc_id"))
+    # texts that differ are an upper bound of the distinct documents
+    often = each.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > rules.max_documents).select("host", "h")
+    often = small_or_shuffled(written(often, "busy-lines"))
+    held = written(each.join(often, ["host", "h"], "left_semi"), "busy")
+    copies = near_copies(documents, held.select("host", "text_hash", "doc_id").distinct(), host)
+    document = F.coalesce("copy_of", F.xxhash64("host", "text_hash"))
+    by_document = held.join(copies, ["host", "text_hash"], "left").select("host", "h", document.alias("document")).distinct()
+    removed = by_document.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > rules.max_documents)
+    return written(removed.select("host", "h"), "removed-lines")
+
+
 def judge_documents(documents: DataFrame, rules: LineRules | None = None, host: str = "source") -> DataFrame:
     """A row for each document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, and text_hash (xxhash64 of the text) and host.
 
     A null or empty text has no words and fails; a null host is the empty one; a null doc_id stays null;
-    repeated rows are judged each and alike, and count as one document for line frequency. Windows and
-    lines are compared by 64-bit hashes. No Python; texts are never shuffled.
+    repeated rows are judged each and alike, and count as one document for line frequency. Windows
+    and lines are compared by 64-bit hashes, shingles of two texts by 32-bit ones. No Python.
 
-    Lines are counted with partial sums. The removed lines are joined back to all lines of their host:
-    by broadcast if they are few by count, else by a join that the adaptive skew join splits.
+    Lines are counted with partial sums. Texts that hold a line in more than the limit are read again
+    for their shingles. The removed lines are joined back to all lines of their host. Both joins are by
+    broadcast if the rows are few by count, else by a join that the adaptive skew join splits.
     """
     rules = rules or LineRules()
     counts = written(text_counts(documents, rules, host), "line-counts")
-    each = counts.select("host", "signature", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    by_signature = each.groupBy("host", "h", "signature").agg(F.count("*").alias("n"))
-    frequent = by_signature.groupBy("host", "h").agg(F.count("*").alias("distinct"), F.sum("n").alias("n"))
-    removed = frequent.where((F.col("distinct") > rules.max_documents) & (F.col("distinct") >= rules.distinct_share * F.col("n"))).select("host", "h")
+    return _judged(counts, removed_lines(documents, counts, rules, host), rules)
+
+
+def _judged(counts: DataFrame, removed: DataFrame, rules: LineRules) -> DataFrame:
     lines = counts.select("row", "host", F.inline("lines"))
-    lost = lines.join(small_or_shuffled(written(removed, "removed-lines")), ["host", "h"]).groupBy("row").agg(F.sum("n").alias("lost"))
-    judged = counts.drop("lines", "signature").join(lost, "row", "left")
+    lost = lines.join(small_or_shuffled(removed), ["host", "h"]).groupBy("row").agg(F.sum("n").alias("lost"))
+    judged = counts.drop("lines").join(lost, "row", "left")
     depleted = F.coalesce(F.col("n_words") - F.col("lost") < rules.least_left * F.col("n_words"), F.lit(False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "text_hash", "host")
 
@@ -118,5 +179,5 @@ def drop_rejected(documents: DataFrame, judged: DataFrame, host: str = "source")
     """The documents that ``judged`` keeps, with their columns. Rows are matched by (doc_id, host, text),
     so that rows that share a doc_id have verdicts of their own."""
     rejected = small_or_shuffled(written(judged.where(~F.col("kept")).select(F.col("doc_id").alias("__d"), F.col("host").alias("__h"), F.col("text_hash").alias("__t")).distinct(), "rejected"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("__h")) & (F.xxhash64(text_column()) == F.col("__t"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (_host(host) == F.col("__h")) & (F.xxhash64(text_column()) == F.col("__t"))
     return documents.join(rejected, same, "left_anti")

@@ -43,6 +43,18 @@ def test_line_frequency(spark):
     assert [got[i] for i in range(len(rows))] == [False] * 6 + [True] * (len(rows) - 6)
 
 
+def test_line_frequency_of_templates_and_copies(spark):
+    """Pages of one template are many documents, alone in their host too; copies don't save a frequent line."""
+    rnd = random.Random(21)
+    template, line, copied = prose(rnd, 85), prose(rnd, 60), prose(rnd, 5)
+    rows = [("a", f"{template}\n{prose(rnd, 15)}") for _ in range(40)]  # 15 of 100 words are left
+    rows += [("b", f"{line}\n{prose(rnd, 12)}") for _ in range(25)]  # 12 of 72 words are left
+    rows += [("b", f"{line}\n{copied}")] * 200  # one group of copies with the same line
+    rows += [("c", f"{template}\n{prose(rnd, 15)}") for _ in range(20)]  # at the limit
+    got = {r["doc_id"]: r["kept"] for r in line_rules.judge_documents(documents(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == [False] * 265 + [True] * 20
+
+
 def test_drop_rejected_matches_rows(spark, hard_documents):
     judged = line_rules.judge_documents(hard_documents)
     left = line_rules.drop_rejected(hard_documents, judged)
