@@ -181,3 +181,24 @@ def drop_rejected(documents: DataFrame, judged: DataFrame, host: str = "source")
     rejected = small_or_shuffled(written(judged.where(~F.col("kept")).select(F.col("doc_id").alias("__d"), F.col("host").alias("__h"), F.col("text_hash").alias("__t")).distinct(), "rejected"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (_host(host) == F.col("__h")) & (F.xxhash64(text_column()) == F.col("__t"))
     return documents.join(rejected, same, "left_anti")
+
+
+def without_lines(documents: DataFrame, counts: DataFrame, removed: DataFrame, host: str = "source") -> DataFrame:
+    """``documents`` with their columns, texts without the ``removed`` (host, h) lines of their host, and
+    n_chars (where there is such a column) of what is left. Texts without such a line stay as they are."""
+    lines = counts.select("host", "text_hash", F.inline("lines")).join(small_or_shuffled(removed), ["host", "h"])
+    gone = lines.groupBy(F.col("host").alias("__h"), F.col("text_hash").alias("__t")).agg(F.collect_set("h").alias("__gone"))
+    gone = small_or_shuffled(written(gone, "gone"), 50_000)
+    rows = documents.join(gone, (_host(host) == F.col("__h")) & (F.xxhash64(text_column()) == F.col("__t")), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__gone", F.xxhash64(normalised(x)))), "\n")
+    hit = F.col("__gone").isNotNull()
+    out = rows.select(*(F.when(hit, left).otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in documents.columns), hit.alias("__hit"))
+    return out.select(*(F.when(F.col("__hit"), F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns))
+
+
+def clean_documents(documents: DataFrame, rules: LineRules | None = None, host: str = "source") -> DataFrame:
+    """The documents that ``judge_documents`` keeps, without the lines that it removes."""
+    rules = rules or LineRules()
+    counts = written(text_counts(documents, rules, host), "line-counts")
+    removed = removed_lines(documents, counts, rules, host)
+    return without_lines(drop_rejected(documents, _judged(counts, removed, rules), host), counts, removed, host)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from millrace.llm import crf_quality, line_rules, queries, secrets
 from tests.llm import brute
 from tests.llm.conftest import DOCUMENTS
@@ -55,6 +56,26 @@ def test_line_frequency_of_templates_and_copies(spark):
     assert [got[i] for i in range(len(rows))] == [False] * 265 + [True] * 20
 
 
+def test_stage_removes_lines(spark):
+    """The stage's texts are those of the kept documents without the frequent lines, by brute force."""
+    rnd = random.Random(22)
+    menu = prose(rnd, 10)
+    rows = [(s, f"{prose(rnd, 30)}\n\n  {menu.upper()} \n{prose(rnd, 30)}\n") for s in "a" * 25 + "b" * 5]
+    rows += [("a", menu + "\n" + prose(rnd, 2)), ("a", prose(rnd, 30))]
+    hosts = {}
+    for i, (s, t) in enumerate(rows):
+        for x in {" ".join(x.lower().split()) for x in t.split("\n")} - {""}:
+            hosts.setdefault((s, x), set()).add(i)
+    want = {i: "\n".join(x for x in t.split("\n") if len(hosts.get((s, " ".join(x.lower().split())), ())) <= 20) for i, (s, t) in enumerate(rows)}
+    del want[30]
+    docs = documents(spark, rows)
+    out = corpus_pipeline.quality_rules(spark, docs, "")
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want and any(menu.upper() in t for t in want.values())
+    assert all(r["n_chars"] == (len(r["text"]) if r["doc_id"] < 25 else 0) for r in got)
+
+
 def test_drop_rejected_matches_rows(spark, hard_documents):
     judged = line_rules.judge_documents(hard_documents)
     left = line_rules.drop_rejected(hard_documents, judged)
