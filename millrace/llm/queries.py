@@ -46,7 +46,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), secrets.EntropyRules(parts=True))
     spans = F.col("secret_spans")
     base = secrets.spans_text(F.filter(spans, lambda x: x["kind"] < 3))
 

@@ -4,8 +4,9 @@ Three kinds have patterns of their own. The method adds "entropy" spans: within
 (a run of token characters) a window slides by one character; for each character class the counts of
 the characters in the window are kept and changed by one entering and one leaving character, and with
 them the sum of c*log2(c), which gives the window's Shannon entropy. A candidate whose greatest
-windowed entropy reaches the class's limit is a span, unless the allow-list fits it or it touches a
-span of the three kinds.
+windowed entropy reaches the class's limit is a span, unless the allow-list fits it. With ``parts``
+spans of the three kinds end candidates, and what is left of a run beside them is judged by itself;
+without, a candidate that touches such a span is dropped whole.
 
 Spans are counted in code points, end exclusive. Positions come from splitting the text by the same
 expression that finds the matches: lengths of gaps and matches add up to places.
@@ -46,8 +47,11 @@ class EntropyRules:
         CharClass("hex", "0123456789ABCDEFabcdef", 3.0),
         CharClass("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.6),
     )
-    #: A candidate that one of these finds is no secret: prose and paths (no digit), ids with dashes, repeated placeholders.
-    allow: tuple[str, ...] = (r"^[^0-9]*$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^[0-9_=+/-]*$", r"(?i)example|placeholder|x{6,}")
+    #: A candidate that one of these finds is no secret: prose and paths (words of one case, a capital first
+    #: at most, of under 20 letters between separators), ids with dashes, repeated placeholders.
+    allow: tuple[str, ...] = (r"^(?!.*([a-z][A-Z]|[A-Z]{2}[a-z]|[A-Za-z]{20}))[^0-9]*$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^[0-9_=+/-]*$", r"(?i)example|placeholder|x{6,}")
+    #: Judge what base spans leave of a candidate.
+    parts: bool = False
 
 
 def _let(value: Column, body) -> Column:
@@ -175,7 +179,8 @@ def _entropy_spans(text: Column, base: Column, rules: EntropyRules) -> Column:
             allowed = allowed | s.rlike(p)
         return F.when(allowed, F.lit(False)).otherwise(fits)
 
-    return F.filter(_let(_spans(text, pattern), lambda spans: _apart(spans, base)), lambda x: secret(x["m"]))
+    found = _spans(text, pattern) if rules.parts else _let(_spans(text, pattern), lambda spans: _apart(spans, base))
+    return F.filter(found, lambda x: secret(x["m"]))
 
 
 def find_secrets(documents: DataFrame, rules: EntropyRules | None = None) -> DataFrame:
@@ -194,7 +199,12 @@ def find_secrets(documents: DataFrame, rules: EntropyRules | None = None) -> Dat
     order = [c for c in documents.columns if c != "secret_spans"]
     # A generated row is a border beyond which the optimiser doesn't copy the expressions of its columns.
     with_base = documents.select(*order, F.inline(F.array(F.struct(base.alias("__base")))))
-    found = F.concat(F.col("__base"), named(_entropy_spans(text, F.col("__base"), rules), 3, "entropy"))
+    searched = text
+    if rules.parts:
+        blank = _replaced(text, F.array_sort(F.col("__base")), lambda x: F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], x["at"]), F.lit(0))))
+        blank = F.when(F.size("__base") > 0, blank).otherwise(text)
+        with_base, searched = with_base.select("*", F.inline(F.array(F.struct(blank.alias("__blank"))))), F.col("__blank")
+    found = F.concat(F.col("__base"), named(_entropy_spans(searched, F.col("__base"), rules), 3, "entropy"))
     by_start = F.array_sort(found, lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["kind"] - b["kind"]))
     return with_base.select(*order, F.inline(F.array(F.struct(by_start.alias("secret_spans")))))
 
@@ -204,13 +214,8 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["name"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """Replace each span of ``find_secrets`` in text by a mark (overlapping spans by one) and set n_chars.
-
-    Rows without spans, null texts among them, stay as they are.
-    """
-    text, spans = F.col("text"), F.col("secret_spans")
-    # (s, e, at): at is where the text goes on after all earlier spans
+def _replaced(text: Column, spans: Column, put) -> Column:
+    """``text`` with ``put`` of (s, e, at) for each of ``spans``, which are in order of starts; at is where the text goes on after all earlier spans."""
     until = _scan(F.transform(spans, lambda x: x["e"]), F.greatest, 0)
     rows = F.zip_with(spans, F.concat(F.array(F.lit(0)), until), lambda x, at: F.struct(x["s"].alias("s"), x["e"].alias("e"), at.alias("at")))
 
@@ -218,12 +223,21 @@ def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         # one walk through the text for a chunk, then short ones within its part
         first, last = F.try_element_at(chunk, F.lit(1))["at"], F.try_element_at(chunk, F.lit(-1))["s"]
         part = text.substr(first + 1, F.greatest(last - first, F.lit(0)))
-        return _let(part, lambda p: F.array_join(F.transform(chunk, lambda x: F.when(x["s"] >= x["at"], F.concat(p.substr(x["at"] - first + 1, x["s"] - x["at"]), F.lit(mark))).otherwise("")), ""))
+        return _let(part, lambda p: F.array_join(F.transform(chunk, lambda x: F.concat(F.when(x["s"] >= x["at"], p.substr(x["at"] - first + 1, x["s"] - x["at"])).otherwise(""), put(x))), ""))
 
     def all_text(rows: Column) -> Column:
         return F.array_join(F.transform(_chunks(rows), chunk_text), "")
 
-    done = F.concat(_let(F.filter(rows, lambda x: x["s"].isNotNull()), all_text), text.substr(F.array_max(until) + 1, F.length(text)))
+    return F.concat(_let(F.filter(rows, lambda x: x["s"].isNotNull()), all_text), text.substr(F.array_max(until) + 1, F.length(text)))
+
+
+def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """Replace each span of ``find_secrets`` in text by a mark (overlapping spans by one) and set n_chars.
+
+    Rows without spans, null texts among them, stay as they are.
+    """
+    text, spans = F.col("text"), F.col("secret_spans")
+    done = _replaced(text, spans, lambda x: F.when(x["s"] >= x["at"], F.lit(mark)).otherwise(""))
     hit = F.size(spans) > 0
     out = found.select(*(F.when(hit, done).otherwise(text).alias("text") if c == "text" else F.col(c) for c in found.columns))
     out = out.select(*(F.when(hit, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in out.columns))
