@@ -157,7 +157,8 @@ def fold(doc_id: Column) -> Column:
 def fit_quality(documents: DataFrame, labels: DataFrame, max_documents: int = 3000, max_lines: int = 400) -> LineCrf:
     """Learn from at most ``max_documents`` labelled rows whose fold isn't 1.
 
-    A doc_id with several labels has the greatest; null labels and doc_ids are left out. Only the chosen
+    A doc_id with several labels has the greatest, and one with several texts of at most ``max_lines``
+    lines has that of the least hash; null labels and doc_ids are left out. Only the chosen
     ids (a bounded number) are broadcast.
     """
     doc = F.col("doc_id").cast("long")
@@ -167,12 +168,14 @@ def fit_quality(documents: DataFrame, labels: DataFrame, max_documents: int = 30
 
     def run(batches):
         for batch in batches:
-            rows = [(label, line_features(text)[0]) for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            rows = [(a, f) for a, f in rows if len(f) <= max_lines]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int32()), pa.array([f.tobytes() for _, f in rows], pa.binary())], ["label", "features"])
-
-    texts = documents.select(doc.alias("doc_id"), text_column().alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text", "doc_id")
-    got = texts.select("label", "text").mapInArrow(run, "label int, features binary").limit(2 * max_documents).collect()
+            rows = [(doc_id, text_hash, label, line_features(text)[0]) for doc_id, text_hash, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            rows = [(*r[:3], r[3].tobytes()) for r in rows if len(r[3]) <= max_lines]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "text_hash", "label", "features"])
+
+    texts = documents.select(doc.alias("doc_id"), text_column().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("text"), "label", "text")
+    found = texts.mapInArrow(run, "doc_id long, text_hash long, label int, features binary")
+    got = found.groupBy("doc_id").agg(F.min(F.struct("text_hash", "label", "features")).alias("row")).select("row.*").collect()
     got = sorted(got, key=lambda r: bytes(r["features"]))  # the fit doesn't depend on the order of tasks
     return LineCrf.fit([np.frombuffer(r["features"], np.float32).reshape(-1, WIDTH) for r in got], np.array([r["label"] for r in got]))
 

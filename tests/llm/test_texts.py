@@ -231,3 +231,15 @@ def test_quality_edges(spark, hard_documents, empty_documents):
     assert all(r["score"] == pytest.approx(0.5) for r in crf_quality.score_quality(hard_documents, none).collect())
     one = crf_quality.fit_quality(hard_documents, labels.where("quality = 1"))
     assert min(r["score"] for r in crf_quality.score_quality(hard_documents, one).collect()) > 0.9
+
+
+def test_quality_with_a_repeated_id(spark):
+    """A labelled doc_id in very many rows is one training row."""
+    rnd = random.Random(23)
+    texts = [(i, prose(rnd, 30)) for i in range(12)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    trained = [i for i, in labels.where(crf_quality.fold(F.col("doc_id")) != 1).select("doc_id").collect()]
+    docs = spark.createDataFrame(texts + [texts[trained[0]]] * 100, "doc_id long, text string").coalesce(1)
+    once = crf_quality.fit_quality(docs.distinct(), labels, max_documents=20)
+    many = crf_quality.fit_quality(docs, labels, max_documents=20)
+    assert many.weights.tolist() == once.weights.tolist() and many.links.tolist() == once.links.tolist()
