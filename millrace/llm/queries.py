@@ -69,7 +69,7 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "root")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

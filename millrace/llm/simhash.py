@@ -151,7 +151,8 @@ def links(distinct: DataFrame, distance: int = 3, n_pivots: int = 16, blocks: in
 
 
 def near_duplicates(documents: DataFrame, distance: int = 3, shingle: int = 3, n_pivots: int = 16, blocks: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """For each row: doc_id, fingerprint (16 hex digits), component_id, text_hash (xxhash64 of the text).
+    """For each row: doc_id, fingerprint (16 hex digits), component_id, text_hash (xxhash64 of the text),
+    root (the least fingerprint of the component).
 
     Fingerprints within ``distance`` bits are linked; component_id is the smallest doc_id that links
     reach, the row's own included. Texts without words (null and empty ones too) have fingerprint zero
@@ -165,18 +166,20 @@ def near_duplicates(documents: DataFrame, distance: int = 3, shingle: int = 3, n
     roots = components(found).withColumnRenamed("node", "fp")
     joined = written(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = joined.join(smallest, "root").select("fp", "component_id")
-    return rows.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash")
+    of_class = joined.join(smallest, "root").select("fp", "root", "component_id")
+    return rows.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash", "root")
 
 
 def keep_one(documents: DataFrame, groups: DataFrame) -> DataFrame:
-    """Of each component of ``near_duplicates`` the row with the smallest doc_id, with its columns.
+    """Of each component of ``near_duplicates`` one row, with its columns: that with the smallest doc_id,
+    nulls last, and of those the least text_hash.
 
-    Rows are matched by (doc_id, text). Rows that repeat both are reduced to one; rows that share the
-    smallest doc_id but not the text stay, and so does each text of a component without any doc_id.
+    Rows are matched by (doc_id, text). Rows that repeat both are reduced to one.
     """
-    groups = written(groups.select("doc_id", "component_id", "text_hash"), "groups")
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    groups = written(groups.select("doc_id", "text_hash", "root"), "groups")
+    least = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"))
+    groups = written(groups.join(least, "root").select("doc_id", "text_hash", (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))).alias("first")), "chosen")
+    first = F.col("first")
     other = small_or_shuffled(written(groups.where(~first).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct(), "duplicates"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(text_column()) == F.col("__t"))
     kept = documents.join(other, same, "left_anti")

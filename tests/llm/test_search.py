@@ -139,3 +139,13 @@ def test_sql(spark, small):
         columns = [d[0] for d in want.description]
         assert sorted(columns) == sorted(got.columns)
         assert sorted((tuple(r) for r in got.select(*columns).collect()), key=str) == sorted(want.fetchall(), key=str), name
+
+
+def test_keep_one_without_unique_ids(spark):
+    """One row of each component also where doc_ids are null or repeated."""
+    text = " ".join(f"word{i}" for i in range(400))
+    texts = [text, text + " tail", text + " end", text]
+    for ids in ([None] * 4, [7] * 4, [None, 7, 7, 9]):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        left = simhash.keep_one(docs, simhash.near_duplicates(docs, distance=12)).collect()
+        assert len(left) == 1 and left[0]["doc_id"] == (None if ids[1] is None else 7)
