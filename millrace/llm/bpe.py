@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_column, usual
+from millrace.llm.common import slices, text_column, usual
 
 #: The split pattern for which a faster equivalent is known (fixed value of the public tokenizers).
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -336,7 +336,7 @@ def encode_decode(documents: DataFrame, ranks_path: str, pattern: str, keep_ids:
 
     def run(batches):
         c = codec(ranks_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             n, ids_sha, text_sha, kept = [], [], [], []
             for text in batch.column(1).to_pylist():
                 packed = c.encode_packed(text)

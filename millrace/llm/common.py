@@ -98,11 +98,17 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def slices(batches, rows: int = 1024):
-    """Arrow batches in parts of at most ``rows`` rows, so that a Python worker holds the objects of one part."""
+def slices(batches, rows: int = 1024, size: int = 4 << 20):
+    """Arrow batches in parts of at most ``rows`` rows and about ``size`` bytes (a longer row is a part of
+    its own), so that a Python worker holds the objects of one part."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, rows)
+            while part.num_rows > 1 and part.get_total_buffer_size() > size and part.nbytes > size:
+                part = part.slice(0, max(1, min(part.num_rows // 2, part.num_rows * size // part.nbytes)))
+            yield part
+            at += part.num_rows
 
 
 def text_column(name: str = "text") -> Column:
@@ -114,6 +120,9 @@ def text_column(name: str = "text") -> Column:
 _UNUSUAL = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ſ]")
 
 
+USUAL_CHARACTERS = [c for c in range(0x180) if not _UNUSUAL.match(chr(c))]
+
+
 def usual(text: str) -> bool:
     """Whether ``text`` has only characters whose classes all the regular-expression engines share."""
     return _UNUSUAL.search(text) is None

@@ -168,7 +168,7 @@ def cut_documents(documents: DataFrame, tokenizer_path: str, capacity: int, end_
     (part, nth): the place among the pieces of this length that one task made. Written as a table."""
 
     def run(batches):
-        end, tokens, seen = np.array([end_id], "<u4").tobytes(), encoder(tokenizer_path, str.split), defaultdict(int)
+        end, tokens, seen = np.array([end_id], "<u4").tobytes(), encoder(tokenizer_path), defaultdict(int)
         part = TaskContext.get().partitionId()
         for batch in slices(batches):
             rows = []

@@ -21,8 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import KNOWN_PATTERN, Splitter
-from millrace.llm.common import filesystem, new_folder, shuffle_partitions, text_column, written
+from millrace.llm.common import filesystem, new_folder, shuffle_partitions, slices, text_column, written
 from millrace.llm.pieces import encoder
 
 MAGIC = b"MRDAC001"
@@ -190,8 +189,8 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, end_id: int = 0) ->
     def run(batches):
         writer, name = None, f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.dac"
         end = np.array([end_id], "<u4").tobytes()
-        tokens = encoder(tokenizer_path, Splitter(KNOWN_PATTERN))
-        for batch in batches:
+        tokens = encoder(tokenizer_path)
+        for batch in slices(batches):
             writer = writer or TokenWriter(name)
             for doc, packed in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist()), strict=True):
                 writer.add(doc, packed + end)

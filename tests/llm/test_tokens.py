@@ -181,16 +181,31 @@ def test_queries(spark, small):
     assert queries.op8_packing(spark, small).select("doc_id").distinct().count() == docs
 
 
-def test_memo_of_pieces_rotates_without_changing_ids():
-    import numpy as np
-    from tokenizers import Tokenizer
+def test_pieces_equal_library(hard_texts):
+    """Ids by chunks are the library's, for any memo, for the known tokenizers and for others."""
+    from millrace.llm.pieces import PieceEncoder
+
+    rnd = random.Random(24)
+    kinds = ["abcdefghij", " \n\t\r", "   \n", "aaaab", "éñÜßÆŸſİ", "'s'll\"#_-=", "0123456789", "'S'LLABC", "¡¿»", "\x85\xa0漢"]
+    texts = ["".join(rnd.choice(rnd.choice(kinds[: rnd.randint(5, 10)])) for _ in range(rnd.choice([0, 1, 2, 3, 10, 40]))) for _ in range(3000)]
+    texts += [t or "" for t in hard_texts] + [" ".join(f"w{i * k % 97}" for i in range(k % 23)) + " common" for k in range(200)]
+    for name, kind in (("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")):
+        encode = tokenizer(name)
+        want = [brute.packed(encode(t)) for t in texts]
+        for most in (0, 5, 1000):
+            e = PieceEncoder(P.path(name), most)
+            assert e.kind == kind and [x for at in range(0, len(texts), 500) for x in e.encode(texts[at : at + 500])] == want
+    assert PieceEncoder(P.path("byte_bpe_50k.json")).encode([]) == []
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, normalizers
 
     from millrace.llm.pieces import PieceEncoder
-    from millrace.llm.queries import tokenizer
-
-    path = tokenizer("word_bpe_49k.json")
-    texts = ["", "a", *(" ".join(f"w{i * k % 97}" for i in range(k % 23)) + " common" for k in range(200)), "na\u00efve \u4e2d\u6587"]
-    library = Tokenizer.from_file(path)
-    expected = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    for most in (0, 5, 1000):
-        assert PieceEncoder(path, str.split, most).encode(texts) == expected
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.normalizer = normalizers.Lowercase()
+    t.save(str(tmp_path / "t.json"))
+    e = PieceEncoder(str(tmp_path / "t.json"))
+    assert e.kind is None and e.encode(["Some TEXT", ""]) == [brute.packed(t.encode(x).ids) for x in ("Some TEXT", "")]
+
