@@ -89,6 +89,10 @@ class _Packer:
                 found = (x, y, x + y) if found is None else (*found[:2], max(found[2], x + y))
         return found
 
+    def times(self, members: list[int]) -> int:
+        """How often these lengths can be taken together."""
+        return min(self.left[m] // members.count(m) for m in set(members))
+
     def reduce(self) -> None:
         """For each length s from the largest: fix the sets that dominate all others with an item of s.
 
@@ -96,25 +100,30 @@ class _Packer:
         more fits, or the largest that fits fills r, that one goes with it; where at most two more
         fit, a pair does whose items are as large as either can be in any such pair and that no
         single item outdoes, or a single item at least as large as any pair.
+
+        Taking items away leaves fewer other sets, so a set that dominates does so again while all its
+        lengths are there: it is fixed as often at once. Each step uses up a length (all but one of it
+        at most), so there are no more than three runs for each of twice as many steps as lengths.
         """
         for s in sorted(self.left, reverse=True):
             while s in self.left:
                 room, small = self.capacity - s, self.smallest(s, 3)
                 best = self.largest(room, {s: 1})
                 if best is None:
-                    self.fix([s], self.left[s] if not small or small[0] > room else 1)
+                    members = [s]
                 elif best == room or len(small) < 2 or small[0] + small[1] > room:
-                    self.fix([s, best], self.left[s] // 2 if best == s else min(self.left[s], self.left[best]))
+                    members = [s, best]
                 elif len(small) < 3 or sum(small) > room:
                     pair = self.pairs(s, room)
                     if pair is None or pair[2] <= best:
-                        self.fix([s, best], 1)
+                        members = [s, best]
                     elif pair[0] == best:
-                        self.fix([s, best, pair[1]], 1)
+                        members = [s, best, pair[1]]
                     else:
                         break
                 else:
                     break
+                self.fix(members, self.times(members))
 
     def best_fit(self) -> None:
         """Largest first, each into the open sequence with the least room that suffices."""

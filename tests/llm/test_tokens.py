@@ -209,3 +209,11 @@ def test_other_tokenizers_get_whole_texts(tmp_path):
     e = PieceEncoder(str(tmp_path / "t.json"))
     assert e.kind is None and e.encode(["Some TEXT", ""]) == [brute.packed(t.encode(x).ids) for x in ("Some TEXT", "")]
 
+
+def test_reduction_takes_few_runs():
+    """Sets are fixed as often as they can be at once, however many documents have these lengths."""
+    for n in (10, 10**6, 10**9):
+        counts = {1400: n, 300: n, 610: n}
+        runs, sequences = packing.plan(counts, 2048)
+        assert len(runs) <= 20 and sum(r.n for r in runs) == 3 * n
+        assert sequences <= n + -(-n // 6) + 2
