@@ -116,6 +116,19 @@ def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores before them that no column of ``df`` has one of them."""
+    taken, mark = {c.lower() for c in df.columns}, "__"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 #: Characters for which Python's re and the tokenizers' expressions may not see the same classes.
 _UNUSUAL = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ſ]")
 

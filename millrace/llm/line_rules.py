@@ -5,11 +5,8 @@ Across texts: normalised lines are hashed, and for each host the distinct docume
 counted. A line in more documents than the limit is removed; a document of which too little is left is
 rejected.
 
-Copies of one document aren't many documents. Exact copies count once by their text's hash. Near copies
-are verified over the whole text: of the documents that hold a line in more than the limit, those that
-have one of their least 3-word shingles in common are compared, all shingles of one with all of the
-other, and similar ones count as one. Pages that share a template but have texts of their own are many
-documents.
+A document is a text: exact copies of one count once. Near copies and pages of one template differ, so
+they are many documents, and what more of them share than the limit goes.
 """
 
 from __future__ import annotations
@@ -19,13 +16,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import small_or_shuffled, text_column, written
-from millrace.llm.components import components
+from millrace.llm.common import column, fresh, small_or_shuffled, text_column, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-#: Near copies: shingles of so many words, so many least ones by which documents meet, least Jaccard similarity.
-SHINGLE, MEET, NEAR = 3, 8, 0.8
+#: Bits of a window's place where hashes and places are sorted as one number.
+PLACE_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -51,18 +47,50 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def _repeat_words(windows: Column) -> Column:
-    """Words in windows whose hash occurs twice or more."""
+def _windows(words: Column) -> Column:
+    """Hashes of all windows: of each word once, then of neighbouring halves, which doubles their length."""
+
+    def doubled(half: int):
+        return lambda h: F.zip_with(F.slice(h, F.lit(1), F.size(h) - half), F.slice(h, F.lit(half + 1), F.size(h) - half), lambda a, b: F.xxhash64(a, b))
+
+    hashes = F.transform(words, lambda x: F.xxhash64(x))
+    for half in (1, 2, 4):
+        hashes = _let(hashes, doubled(half))
+    return F.when(F.size(words) >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>"))
+
+
+def _suspects(windows: Column) -> Column:
+    """Columns (``packed``) by which ``_suspect_places`` finds the few windows that may be repeated: their
+    hashes' upper bits and places, sorted as plain numbers; null where no window is repeated."""
+    low = (1 << PLACE_BITS) - 1
+    packed = F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("bigint"))))
+    return F.when((F.size(F.array_distinct(windows)) < F.size(windows)) & (F.size(windows) <= low), packed)
+
+
+def _suspect_places(packed: Column, windows: Column) -> Column:
+    low = (1 << PLACE_BITS) - 1
+
+    def upper(x: Column) -> Column:
+        return F.shiftright(x, PLACE_BITS)
+
+    alike = F.filter(packed, lambda x, k: F.coalesce(upper(x) == upper(F.get(packed, k - 1)), F.lit(False)) | F.coalesce(upper(x) == upper(F.get(packed, k + 1)), F.lit(False)))
+    few = F.transform(alike, lambda x: x.bitwiseAND(F.lit(low)).cast("int"))
+    whole = F.when(F.size(windows) > low, F.sequence(F.lit(0), F.size(windows) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(packed.isNotNull(), few).otherwise(whole)
+
+
+def _repeat_words(windows: Column, places: Column) -> Column:
+    """Words in windows, of those at ``places``, whose hash occurs twice or more."""
 
     def covered(sorted_pairs: Column) -> Column:
         n = F.size(sorted_pairs)
         same = F.zip_with(F.slice(sorted_pairs, F.lit(1), n - 1), F.slice(sorted_pairs, F.lit(2), n - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
-        places = F.sort_array(F.array_distinct(F.flatten(same)))
+        found = F.sort_array(F.array_distinct(F.flatten(same)))
         start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
-        return F.aggregate(places, start, lambda acc, i: F.struct((acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n"), i.alias("last")))["n"]
+        return F.aggregate(found, start, lambda acc, i: F.struct((acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n"), i.alias("last")))["n"]
 
-    pairs = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), _let(F.sort_array(pairs), covered)).otherwise(F.lit(0))
+    pairs = F.transform(places, lambda i: F.struct(F.get(windows, i).alias("h"), i.alias("i")))
+    return F.when(F.size(places) > 0, _let(F.sort_array(pairs), covered)).otherwise(F.lit(0))
 
 
 def normalised(line: Column) -> Column:
@@ -74,18 +102,21 @@ def text_counts(documents: DataFrame, rules: LineRules, host: str = "source") ->
     """A row for each document, without its text: counts and lines (hash, words)."""
     text = F.col("__text")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _host(host).alias("host"), text_column().alias("__text"))
+    # a whole text is normalised at once; its lines are those of ``normalised``
+    even = F.regexp_replace(F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " "), "[0-9]", "0")
+    lines = F.filter(F.transform(F.split(even, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = _border(rows, w=_words(text), lines=F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    n = F.size("w")
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("w"), i, F.lit(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
+    rows = _border(rows, win=_windows(F.col("w")))
+    rows = _border(rows, packed=_suspects(F.col("win")))
+    rows = _border(rows, places=_suspect_places(F.col("packed"), F.col("win")))
     word_chars = F.length(F.array_join("w", ""))
     symbols = F.length("__text") - F.length(F.regexp_replace("__text", r"[#*$%&|<>]", ""))
-    rows = _border(rows, win=windows)
     counted = rows.select(
         "doc_id", "host", F.xxhash64("__text").alias("text_hash"),
-        n.cast("long").alias("n_words"), word_chars.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
+        F.size("w").cast("long").alias("n_words"), word_chars.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("win")).cast("long").alias("n_repeat_words"),
-        F.transform("lines", lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.size(_words(x)).alias("n"))).alias("lines"),
+        _repeat_words(F.col("win"), F.col("places")).cast("long").alias("n_repeat_words"),
+        F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n"))).alias("lines"),
     )
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     return counted.select("*", failed.alias("base_failed"), F.monotonically_increasing_id().alias("row"))
@@ -95,58 +126,14 @@ def _host(host: str) -> Column:
     return F.coalesce(F.col(host).cast("string"), F.lit(""))
 
 
-def _shingles(w: Column) -> Column:
-    """Sorted distinct 32-bit hashes of a text's shingles; a text of fewer words is one shingle."""
-
-    def hashed(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(h) - (SHINGLE - 1)), lambda i: F.hash(*(F.element_at(h, i + k) for k in range(SHINGLE))))
-
-    shingles = F.when(F.size(w) >= SHINGLE, _let(F.transform(w, lambda x: F.xxhash64(x)), hashed)).otherwise(F.array(F.hash(F.array_join(w, " "))))
-    return F.sort_array(F.array_distinct(shingles))
+def removed_lines(counts: DataFrame, rules: LineRules) -> DataFrame:
+    """(host, h), written: the lines in more than ``max_documents`` distinct texts of their host.
 
-
-def near_copies(documents: DataFrame, chosen: DataFrame, host: str = "source") -> DataFrame:
-    """(host, text_hash, copy_of) of those texts of ``chosen`` (host, text_hash, doc_id: one of its rows)
-    that have near copies among them.
-
-    Each text is compared with the text of the least hash among those that it shares a least shingle
-    with; links are by the Jaccard similarity of all shingles, and linked texts have one copy_of.
+    First a text's copies become one, then a line's texts are counted, both with partial sums.
     """
-    chosen = small_or_shuffled(written(chosen.select(F.col("host").alias("__h"), F.col("text_hash").alias("__t"), F.col("doc_id").alias("__d")), "busy-texts"))
-    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _host(host).alias("host"), F.xxhash64(text_column()).alias("text_hash"), text_column().alias("__text"))
-    found = keyed.join(chosen, (F.col("host") == F.col("__h")) & (F.col("text_hash") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
-    found = found.select("host", "text_hash", _shingles(_words(F.col("__text"))).alias("shingles"))
-    texts = written(found.dropDuplicates(["host", "text_hash"]), "shingles")
-    keys = texts.select("host", "text_hash", F.size("shingles").alias("n"), F.explode(F.slice("shingles", 1, MEET)).alias("key"))
-    first = keys.groupBy("host", "key").agg(F.min(F.struct("text_hash", "n")).alias("first"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
-    # similar texts have shingles in a like number
-    like = F.least("n", "first.n") >= NEAR * F.greatest("n", "first.n")
-    pairs = keys.join(first, ["host", "key"]).where((F.col("text_hash") != F.col("first.text_hash")) & like)
-    pairs = written(pairs.select("host", "text_hash", F.col("first.text_hash").alias("first")).distinct(), "pairs")
-    others = texts.select("host", F.col("text_hash").alias("first"), F.col("shingles").alias("others"))
-    both = texts.join(small_or_shuffled(pairs), ["host", "text_hash"]).join(others.join(small_or_shuffled(written(pairs.select("host", "first").distinct(), "firsts")), ["host", "first"], "left_semi"), ["host", "first"])
-    shared = F.size(F.array_intersect("shingles", "others"))
-    alike = both.where(shared >= NEAR * (F.size("shingles") + F.size("others") - shared))
-
-    def node(text_hash: str) -> Column:
-        return F.xxhash64("host", text_hash)
-
-    roots = components(written(alike.select(node("text_hash").alias("a"), node("first").alias("b")), "near-copies"))
-    return texts.select("host", "text_hash", node("text_hash").alias("node")).join(roots, "node").select("host", "text_hash", F.col("root").alias("copy_of"))
-
-
-def removed_lines(documents: DataFrame, counts: DataFrame, rules: LineRules, host: str = "source") -> DataFrame:
-    """(host, h), written: the lines in more than ``max_documents`` distinct documents of their host."""
-    each = counts.select("host", "text_hash", "doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    each = each.groupBy("host", "text_hash", "h").agg(F.min("doc_id").alias("doc_id"))
-    # texts that differ are an upper bound of the distinct documents
-    often = each.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > rules.max_documents).select("host", "h")
-    often = small_or_shuffled(written(often, "busy-lines"))
-    held = written(each.join(often, ["host", "h"], "left_semi"), "busy")
-    copies = near_copies(documents, held.select("host", "text_hash", "doc_id").distinct(), host)
-    document = F.coalesce("copy_of", F.xxhash64("host", "text_hash"))
-    by_document = held.join(copies, ["host", "text_hash"], "left").select("host", "h", document.alias("document")).distinct()
-    removed = by_document.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > rules.max_documents)
+    texts = counts.dropDuplicates(["host", "text_hash"])
+    each = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    removed = each.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > rules.max_documents)
     return written(removed.select("host", "h"), "removed-lines")
 
 
@@ -155,16 +142,15 @@ def judge_documents(documents: DataFrame, rules: LineRules | None = None, host:
     base_failed, kept, and text_hash (xxhash64 of the text) and host.
 
     A null or empty text has no words and fails; a null host is the empty one; a null doc_id stays null;
-    repeated rows are judged each and alike, and count as one document for line frequency. Windows
-    and lines are compared by 64-bit hashes, shingles of two texts by 32-bit ones. No Python.
+    repeated rows are judged each and alike, and count as one document for line frequency. Windows,
+    lines and texts are compared by 64-bit hashes. No Python.
 
-    Lines are counted with partial sums. Texts that hold a line in more than the limit are read again
-    for their shingles. The removed lines are joined back to all lines of their host. Both joins are by
-    broadcast if the rows are few by count, else by a join that the adaptive skew join splits.
+    The removed lines are joined back to all lines of their host, by broadcast if the rows are few by
+    count, else by a join that the adaptive skew join splits.
     """
     rules = rules or LineRules()
     counts = written(text_counts(documents, rules, host), "line-counts")
-    return _judged(counts, removed_lines(documents, counts, rules, host), rules)
+    return _judged(counts, removed_lines(counts, rules), rules)
 
 
 def _judged(counts: DataFrame, removed: DataFrame, rules: LineRules) -> DataFrame:
@@ -175,30 +161,42 @@ def _judged(counts: DataFrame, removed: DataFrame, rules: LineRules) -> DataFram
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "text_hash", "host")
 
 
+def _keyed(documents: DataFrame, host: str, *names: str) -> tuple[list[str], Column]:
+    """Names that ``documents`` lacks for a row's doc_id, host and text_hash (or the latter two), and the
+    condition that a row of ``documents`` has these values."""
+    own = fresh(documents, *names)
+    of = {"doc": F.col("doc_id").cast("long"), "host": _host(host), "text": F.xxhash64(text_column())}
+    same = F.lit(True)
+    for name, kind in zip(own, names, strict=True):
+        same = same & (of[kind].eqNullSafe(F.col(name)) if kind == "doc" else of[kind] == F.col(name))
+    return own, same
+
+
 def drop_rejected(documents: DataFrame, judged: DataFrame, host: str = "source") -> DataFrame:
     """The documents that ``judged`` keeps, with their columns. Rows are matched by (doc_id, host, text),
     so that rows that share a doc_id have verdicts of their own."""
-    rejected = small_or_shuffled(written(judged.where(~F.col("kept")).select(F.col("doc_id").alias("__d"), F.col("host").alias("__h"), F.col("text_hash").alias("__t")).distinct(), "rejected"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (_host(host) == F.col("__h")) & (F.xxhash64(text_column()) == F.col("__t"))
-    return documents.join(rejected, same, "left_anti")
+    (doc, at, text), same = _keyed(documents, host, "doc", "host", "text")
+    rejected = judged.where(~F.col("kept")).select(F.col("doc_id").alias(doc), F.col("host").alias(at), F.col("text_hash").alias(text)).distinct()
+    return documents.join(small_or_shuffled(written(rejected, "rejected")), same, "left_anti")
 
 
 def without_lines(documents: DataFrame, counts: DataFrame, removed: DataFrame, host: str = "source") -> DataFrame:
     """``documents`` with their columns, texts without the ``removed`` (host, h) lines of their host, and
     n_chars (where there is such a column) of what is left. Texts without such a line stay as they are."""
+    (at, text), same = _keyed(documents, host, "host", "text")
+    gone, hit = fresh(documents, "gone", "hit")
     lines = counts.select("host", "text_hash", F.inline("lines")).join(small_or_shuffled(removed), ["host", "h"])
-    gone = lines.groupBy(F.col("host").alias("__h"), F.col("text_hash").alias("__t")).agg(F.collect_set("h").alias("__gone"))
-    gone = small_or_shuffled(written(gone, "gone"), 50_000)
-    rows = documents.join(gone, (_host(host) == F.col("__h")) & (F.xxhash64(text_column()) == F.col("__t")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__gone", F.xxhash64(normalised(x)))), "\n")
-    hit = F.col("__gone").isNotNull()
-    out = rows.select(*(F.when(hit, left).otherwise(F.col(c)).alias(c) if c == "text" else F.col(c) for c in documents.columns), hit.alias("__hit"))
-    return out.select(*(F.when(F.col("__hit"), F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns))
+    lists = lines.groupBy(F.col("host").alias(at), F.col("text_hash").alias(text)).agg(F.collect_set("h").alias(gone))
+    rows = documents.join(small_or_shuffled(written(lists, "gone"), 50_000), same, "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(normalised(x)))), "\n")
+    is_hit = F.col(gone).isNotNull()
+    out = rows.select(*(F.when(is_hit, left).otherwise(column(c)).alias(c) if c == "text" else column(c) for c in documents.columns), is_hit.alias(hit))
+    return out.select(*(F.when(F.col(hit), F.length("text").cast("long")).otherwise(column(c)).alias(c) if c == "n_chars" else column(c) for c in documents.columns))
 
 
 def clean_documents(documents: DataFrame, rules: LineRules | None = None, host: str = "source") -> DataFrame:
     """The documents that ``judge_documents`` keeps, without the lines that it removes."""
     rules = rules or LineRules()
     counts = written(text_counts(documents, rules, host), "line-counts")
-    removed = removed_lines(documents, counts, rules, host)
+    removed = removed_lines(counts, rules)
     return without_lines(drop_rejected(documents, _judged(counts, removed, rules), host), counts, removed, host)

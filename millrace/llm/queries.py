@@ -103,6 +103,23 @@ rules(kind, rule, h, p) AS (VALUES ('allow', 'com/', 'com', '/'), ('block', 'exa
 fits AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(kind, length(rule)) AS kind FROM split LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL),
 listed AS (SELECT host, count(kind) > 0 AND host <> '' AND count(*) FILTER (kind = 'block') >= 0.5 * count(kind) AS on_list FROM fits GROUP BY host)
 SELECT page_id, fits.host, path, rule, coalesce(kind, CASE WHEN on_list THEN 'block' ELSE 'allow' END) AS verdict FROM fits JOIN listed ON fits.host = listed.host""",
+    "op9_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[ \t-\r]+'), lambda x: x <> '') AS w FROM d),
+windows AS (SELECT r, i, list_slice(w, i, i + 7) AS words FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, words) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS place FROM again) GROUP BY r),
+lines AS (SELECT * FROM (SELECT r, host, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ \t-\r]')),
+even AS (SELECT r, host, t, line, regexp_replace(trim(regexp_replace(lower(line), '[ \t-\r]+', ' ', 'g')), '[0-9]', '0', 'g') AS x FROM lines),
+removed AS (SELECT host, x FROM even GROUP BY host, x HAVING count(DISTINCT t) > 20),
+lost AS (SELECT r, sum(len(string_split(x, ' '))) AS n FROM even JOIN removed USING (host, x) GROUP BY r),
+twice AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
+counted AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(twice.n, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lost.n, 0) AS gone
+  FROM w LEFT JOIN repeated USING (r) LEFT JOIN twice USING (r) LEFT JOIN lost USING (r)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+SELECT * EXCLUDE (gone), NOT base_failed AND NOT (gone > 0 AND n_words - gone < 0.2 * n_words) AS kept FROM judged""",
     "op7_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -36,6 +36,25 @@ def word_counts(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), failed
 
 
+def kept_documents(rows, limit=20, least=0.2):
+    """Whether each of (host, text) is kept: base rules, then lines in more distinct texts of the host than the limit."""
+
+    def even(line):
+        return re.sub("[0-9]", "0", " ".join(WORD.findall(line.lower())))
+
+    texts = {}
+    for host, text in rows:
+        for line in (text or "").split("\n"):
+            if WORD.search(line):
+                texts.setdefault((host or "", even(line)), set()).add(text)
+    out = []
+    for host, text in rows:
+        n, *_, failed = word_counts(text or "")
+        lost = sum(len(WORD.findall(x)) for x in (text or "").split("\n") if len(texts.get((host or "", even(x)), ())) > limit)
+        out.append(not failed and not (lost and n - lost < least * n))
+    return out
+
+
 def base_secrets(text):
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]

@@ -14,7 +14,7 @@ from tests.llm.conftest import DOCUMENTS
 
 
 def test_counts(spark, hard_documents, empty_documents):
-    clash = hard_documents.withColumn("w", F.lit(1)).withColumn("lines", F.lit("x")).withColumn("row", F.lit(2)).withColumn("lost", F.lit(3))
+    clash = hard_documents.withColumn("w", F.lit(1)).withColumn("lines", F.lit("x")).withColumn("row", F.lit(2)).withColumn("lost", F.lit(3)).withColumn("__text", F.lit(4))
     got = line_rules.judge_documents(clash).collect()
     want = [(d["doc_id"], *brute.word_counts(d["text"] or "")) for d in hard_documents.collect()]
     assert sorted((tuple(r[:7]) for r in got), key=str) == sorted(want, key=str)
@@ -29,31 +29,58 @@ def prose(rnd, n):
     return " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
 
 
+def kept(spark, rows):
+    got = {r["doc_id"]: r["kept"] for r in line_rules.judge_documents(documents(spark, rows)).collect()}
+    want = brute.kept_documents(rows)
+    assert [got[i] for i in range(len(rows))] == want
+    return want
+
+
 def test_line_frequency(spark):
-    """Boilerplate goes, and documents of little else; copies and near copies stay; hosts are apart."""
+    """Boilerplate goes, and documents of little else; exact copies are one document; hosts are apart."""
     rnd = random.Random(8)
     menu, notice = prose(rnd, 30), prose(rnd, 15)
     rows = [("a", f"{prose(rnd, 3)}\n{menu.upper()}\n{notice}") for _ in range(6)]  # 3 of 48 words are left
     rows += [("a", f"{prose(rnd, 200)}\n{menu}\n {notice}") for _ in range(40)]  # 200 of 245 are left
     rows += [("b", f"{prose(rnd, 3)}\n{menu}") for _ in range(5)]  # few in this host
-    whole = [prose(rnd, 40) for _ in range(3)]
-    rows += [("a", "\n".join(whole)) for _ in range(40)]  # copies
-    for k in range(40):  # near copies
-        rows.append(("a", "\n".join(x.replace(x.split()[k % 40], f"new{k}") if i == k % 3 else x for i, x in enumerate(whole[::-1]))))
-    got = {r["doc_id"]: r["kept"] for r in line_rules.judge_documents(documents(spark, rows)).collect()}
-    assert [got[i] for i in range(len(rows))] == [False] * 6 + [True] * (len(rows) - 6)
+    rows += [("a", "\n".join(prose(rnd, 40) for _ in range(3)))] * 40  # copies
+    assert kept(spark, rows) == [False] * 6 + [True] * 85
 
 
 def test_line_frequency_of_templates_and_copies(spark):
-    """Pages of one template are many documents, alone in their host too; copies don't save a frequent line."""
+    """Pages of one template, and near copies, are many documents; copies don't save a frequent line."""
     rnd = random.Random(21)
-    template, line, copied = prose(rnd, 85), prose(rnd, 60), prose(rnd, 5)
+    template, line, copied, boiler = prose(rnd, 85), prose(rnd, 60), prose(rnd, 5), prose(rnd, 90)
     rows = [("a", f"{template}\n{prose(rnd, 15)}") for _ in range(40)]  # 15 of 100 words are left
     rows += [("b", f"{line}\n{prose(rnd, 12)}") for _ in range(25)]  # 12 of 72 words are left
     rows += [("b", f"{line}\n{copied}")] * 200  # one group of copies with the same line
+    rows += [("d", f"{prose(rnd, 12)}\n{boiler}") for _ in range(1000)]
     rows += [("c", f"{template}\n{prose(rnd, 15)}") for _ in range(20)]  # at the limit
-    got = {r["doc_id"]: r["kept"] for r in line_rules.judge_documents(documents(spark, rows)).collect()}
-    assert [got[i] for i in range(len(rows))] == [False] * 265 + [True] * 20
+    whole = [prose(rnd, 40) for _ in range(10)]
+    rows += [("e", "\n".join(x.replace(x.split()[k % 40], f"new{k}") if i == k % 10 else x for i, x in enumerate(whole))) for k in range(40)]
+    assert kept(spark, rows) == [False] * 1265 + [True] * 20 + [False] * 40
+
+
+def test_kept_by_brute_force(spark, hard_documents):
+    rows = [(r["source"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    assert not all(kept(spark, rows + [(s, t) for s, t in rows[::7]]))
+    rnd = random.Random(31)
+    lines = ["", " ", "#1 a B", "#2 A b ", *(prose(rnd, k % 9 + 1) for k in range(12))]
+    kept(spark, [(rnd.choice(["a", "b", None]), rnd.choice([None, "\n".join(rnd.choice(lines) for _ in range(rnd.randint(1, 14)))])) for _ in range(600)])
+
+
+def test_windows_of_long_texts(spark):
+    """Repeated windows are the same with and without numbers that hold a place, and whatever is repeated."""
+    rnd = random.Random(32)
+    texts = [" ".join(rnd.choice("abc") for _ in range(rnd.randint(0, 60))) for _ in range(150)]
+    texts += [prose(rnd, 30) + " " + prose(rnd, 400), "x y " * 3000]
+    texts += [t + " " + t for t in texts[-2:]]
+    df = documents(spark, [("s", t) for t in texts])
+    want = {i: brute.word_counts(t)[4] for i, t in enumerate(texts)}
+    for bits in (line_rules.PLACE_BITS, 4):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(line_rules, "PLACE_BITS", bits)
+            assert {r["doc_id"]: r["n_repeat_words"] for r in line_rules.judge_documents(df).collect()} == want
 
 
 def test_stage_removes_lines(spark):
@@ -78,8 +105,11 @@ def test_stage_removes_lines(spark):
 
 def test_drop_rejected_matches_rows(spark, hard_documents):
     judged = line_rules.judge_documents(hard_documents)
-    left = line_rules.drop_rejected(hard_documents, judged)
-    assert left.columns == hard_documents.columns
+    clash = hard_documents
+    for name in ("__doc", "__HOST", "__text", "__gone", "___hit", "kept", "a.b"):
+        clash = clash.withColumn(name, F.lit(1))
+    left = line_rules.drop_rejected(clash, judged)
+    assert left.columns == clash.columns and line_rules.clean_documents(clash).columns == clash.columns
     want = [r["doc_id"] for r in judged.where("kept").collect()]
     assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted(want, key=str)
 
