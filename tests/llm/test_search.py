@@ -54,6 +54,30 @@ def test_small_shards_and_leaves(spark, monkeypatch):
     assert got == brute_top(rows, 3, 50)
 
 
+def test_many_blocks_of_queries(spark, monkeypatch):
+    """Hundreds of blocks are read by every task, and none goes through the driver."""
+    rows = vectors(33, 900, 6)
+    monkeypatch.setattr(kdtree, "SHARD_ROWS", 60)
+    monkeypatch.setattr(kdtree, "HELD_SHARDS", 2)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert sorted(map(tuple, kdtree.top_k(df, k=4, every=5, query_block=2).collect())) == brute_top(rows, 4, 5)
+
+
+def test_boxes_prune_where_vectors_have_structure():
+    """Of clustered vectors under half the points are scored, and the result is exact."""
+    rnd = np.random.default_rng(34)
+    centres = rnd.normal(size=(40, 16))
+    m = np.floor(256 * (centres[rnd.integers(0, 40, 4000)] + 0.05 * rnd.normal(size=(4000, 16))))
+    ids, queries_at = np.arange(4000), np.arange(0, 4000, 50)
+    best = kdtree.TopK(5, kdtree._floor(ids[queries_at], m[queries_at], 5))
+    for a in (0, 2000):
+        kdtree.KdTree(ids[a : a + 2000], m[a : a + 2000]).search(m[queries_at], ids[queries_at], best)
+    for n, q in enumerate(queries_at.tolist()):
+        s = m @ m[q]
+        assert [(-x, i) for x, i in best.rows[n]] == sorted(((s[i], i) for i in range(4000) if i != q), key=lambda x: (-x[0], x[1]))[:5]
+    assert best.scored < 0.5 * len(queries_at) * 4000
+
+
 def test_fingerprints(spark, hard_documents):
     got = simhash.near_duplicates(hard_documents.withColumn("fp", F.lit("x"))).collect()
     docs = {(d["doc_id"], d["text"]): brute.simhash(d["text"] or "") for d in hard_documents.collect()}
