@@ -11,13 +11,14 @@ import base64
 import hashlib
 import struct
 import uuid
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import filesystem, new_folder, shuffle_partitions, small_or_shuffled, text_column, written
+from millrace.llm.common import filesystem, new_folder, shuffle_partitions, slices, small_or_shuffled, text_column, written
 
 FRAME_BYTES = 1 << 20
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of its footer.
@@ -118,25 +119,31 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, data[start:stop], stop + 4
 
 
-def _record_uri(page_id: int | None) -> str:
-    return f"<urn:x-page:{'none' if page_id is None else page_id}>"
+def _record_uri(page_id: int | None, own: str) -> str:
+    """A record's id: its page, and what no other record has."""
+    return f"<urn:x-page:{'none' if page_id is None else page_id}:{own}>"
 
 
 def _page_of(uri: str) -> int | None:
-    name = uri[len("<urn:x-page:") : -1]
+    name = uri[len("<urn:x-page:") :].partition(":")[0]
     return None if name == "none" else int(name)
 
 
+def _one_line(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def write_warc(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def write_warc(pages: DataFrame, min_bytes: int = 0, date: str | None = None) -> DataFrame:
     """Write a record for each row of ``pages`` (page_id, url, html) and return the index.
 
     Index: page_id, file, frame, offset. Of rows with equal payloads of at least ``min_bytes`` the one
     with the smallest page_id is a response and the others are revisits without a payload. A null html
-    is an empty payload, a null url is left out. Rows that repeat the smallest page_id of their payload
+    is an empty payload, a null url is left out. ``date`` (ISO 8601, UTC) is the records' date, by default
+    the time of the call. A revisit names its response's page, url and date. Rows that repeat the smallest page_id of their payload
     are responses too; a null page_id revisits the smallest one, or is a response if all are null.
 
     Payloads of more than one row are found by a count with partial sums. Their table is broadcast if
@@ -147,23 +154,27 @@ def write_warc(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     folder = new_folder(pages.sparkSession, "warc")
     html = text_column("html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(F.encode(html, "utf-8")).alias("digest"), F.octet_length(html).alias("size"))
-    shared = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = rows.join(small_or_shuffled(written(shared, "payloads")), ["digest", "size"], "left").select("page_id", "url", "html", "digest", "first")
+    shared = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n")).where("n > 1").drop("n")
+    marked = rows.join(small_or_shuffled(written(shared, "payloads")), ["digest", "size"], "left").select("page_id", "url", "html", "digest", "first", "first_url")
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches):
-        name, writer = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.zst", None
-        for batch in batches:
+        own, n, writer = uuid.uuid4().hex, 0, None
+        name = f"{folder}/{TaskContext.get().partitionId():06d}-{own}.warc.zst"
+        for batch in slices(batches):
             writer, at = writer or BundleWriter(name), []
-            for page, url, text, sha, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page, url, text, sha, first, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
                 payload = text.encode()
-                headers = [("WARC-Record-ID", _record_uri(page)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
+                headers = [("WARC-Record-ID", _record_uri(page, f"{own}-{n}")), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
+                n += 1
                 if url is not None:
-                    headers.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
+                    headers.append(("WARC-Target-URI", _one_line(url)))
                 if first is None or first == page:
                     record = format_record([("WARC-Type", "response"), ("Content-Type", "application/http;msgtype=response"), *headers], _HTTP + payload)
                 else:
-                    record = format_record([("WARC-Type", "revisit"), ("WARC-Profile", _IDENTICAL), ("WARC-Refers-To", _record_uri(first)), *headers], b"")
+                    to = [("X-Refers-To-Page", str(first)), ("WARC-Refers-To-Date", date), *([("WARC-Refers-To-Target-URI", _one_line(first_url))] if first_url is not None else [])]
+                    record = format_record([("WARC-Type", "revisit"), ("WARC-Profile", _IDENTICAL), *to, *headers], b"")
                 at.append(writer.add(record))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(at), pa.string()), pa.array([x for x, _ in at], pa.int32()), pa.array([x for _, x in at], pa.int64())], ["page_id", "file", "frame", "offset"])
         if writer:
@@ -192,7 +203,7 @@ def read_warc(index: DataFrame, keep_payload: bool = False) -> DataFrame:
                         if digest != headers["WARC-Payload-Digest"][5:]:
                             raise ValueError(f"{uri}: the payload of {page} is damaged")
                     else:
-                        payload, size, digest, to = None, int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"][5:], _page_of(headers["WARC-Refers-To"])
+                        payload, size, digest, to = None, int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"][5:], int(headers["X-Refers-To-Page"])
                     rows.append((page, headers.get("WARC-Target-URI"), size, digest, kind, to, *([payload] if keep_payload else [])))
                     if len(rows) == 256:
                         yield as_batch(rows)

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -37,9 +38,13 @@ def test_warc_round_trip(spark, pages):
         want.append((page, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if to is None else "revisit", to, data if to is None else None))
     rows = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in got]
     assert sorted(rows, key=str) == sorted(want, key=str)
+    seen = set()
     for r in index.collect():  # one record by its place
         reader = warc.BundleReader(r["file"])
-        assert warc._page_of(reader.record(r["frame"], r["offset"])[0]["WARC-Record-ID"]) == r["page_id"]
+        headers = reader.record(r["frame"], r["offset"])[0]
+        assert warc._page_of(headers["WARC-Record-ID"]) == r["page_id"] and headers["WARC-Record-ID"] not in seen
+        assert datetime.strptime(headers["WARC-Date"], "%Y-%m-%dT%H:%M:%SZ")
+        seen.add(headers["WARC-Record-ID"])
     assert warc.read_warc(warc.write_warc(pages.limit(0))).collect() == []
 
 
