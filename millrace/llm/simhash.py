@@ -14,15 +14,16 @@ pairs but a spanning forest of its links; components then join the forests.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shuffle_partitions, slices, small_or_shuffled, text_column, written
+from millrace.llm.common import fresh, shuffle_partitions, slices, small_or_shuffled, text_column, written
 from millrace.llm.components import components
 
 BITS, SEED, CELL_ROWS, BATCH_ROWS = 64, 42, 512, 100_000
@@ -61,6 +62,16 @@ def pivots(n: int) -> np.ndarray:
     return np.random.default_rng(64).integers(0, 1 << 64, n, np.uint64, endpoint=False) if n else np.zeros(0, np.uint64)
 
 
+def pivot_table(fp: Column, refs: np.ndarray) -> list[Column]:
+    """A fingerprint's distances to ``refs``, a byte each, eight to a long."""
+
+    def signed(x: int) -> int:
+        return x - (1 << 64) if x >> 63 else x
+
+    each = [F.bit_count(fp.bitwiseXOR(F.lit(signed(r)).cast("long"))).cast("long") for r in refs.tolist()]
+    return [reduce(Column.bitwiseOR, (F.shiftleft(d, 8 * i) for i, d in enumerate(each[a : a + 8]))) for a in range(0, len(each), 8)]
+
+
 def block_masks(blocks: int) -> list[int]:
     edges = [BITS * i // blocks for i in range(blocks + 1)]
     return [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
@@ -74,9 +85,8 @@ def blocks_for(rows: int, distance: int) -> int:
     return blocks
 
 
-def _forest(cell: np.ndarray, fp: np.ndarray, refs: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links within cells; rows are sorted by cell number."""
-    table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
+def _forest(cell: np.ndarray, fp: np.ndarray, table: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links within cells; rows are sorted by cell number; ``table``: distances to pivots."""
     root, out = np.arange(len(fp)), []
 
     def find(i: int) -> int:
@@ -116,35 +126,41 @@ def links(distinct: DataFrame, distance: int = 3, n_pivots: int = 16, blocks: in
     chosen = [sum(c) for c in combinations(masks, blocks - distance)]
     signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
     keys = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("v")) for i, m in enumerate(signed)))
-    rows = distinct.select("fp", F.inline(keys))
+    # computed once for each fingerprint; the copies in cells carry the table
+    table = pivot_table(F.col("fp"), pivots(n_pivots))
+    names = [f"d{i}" for i in range(len(table))]
+    rows = distinct.select("fp", *(d.alias(n) for n, d in zip(names, table, strict=True)), F.inline(keys))
     large = rows.groupBy("t", "v").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("t", "v", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"))
     large = small_or_shuffled(written(large, "large-cells"))
     parted = rows.join(large, ["t", "v"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    cells = parted.select("t", "v", "fp", own.alias("own"), other.alias("other")).select("t", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    refs = pivots(n_pivots)
+    cells = parted.select("t", "v", "fp", *names, own.alias("own"), other.alias("other")).select("t", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", *names)
 
     def run(batches):
         held, size = [], 0
 
-        def done(names, fp):
-            edge = np.concatenate([[True], (names[1:] != names[:-1]).any(1)]) if len(fp) else np.zeros(0, bool)
-            a, b = _forest(np.cumsum(edge), fp, refs, distance)
+        def done(cell, fp, near):
+            edge = np.concatenate([[True], (cell[1:] != cell[:-1]).any(1)]) if len(fp) else np.zeros(0, bool)
+            a, b = _forest(np.cumsum(edge), fp, near, distance)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
+        def joined():
+            return tuple(np.concatenate([h[k] for h in held]) for k in range(3))
+
         for batch in batches:
-            names = np.stack([np.asarray(batch.column(c), np.int64) for c in range(4)], 1)
-            held.append((names, np.asarray(batch.column(4)).view(np.uint64)))
+            columns = [np.asarray(c, np.int64) for c in batch.columns]
+            near = np.stack(columns[5:], 1).view(np.int8) if len(columns) > 5 else np.zeros((batch.num_rows, 0), np.int8)
+            held.append((np.stack(columns[:4], 1), columns[4].view(np.uint64), near))
             size += batch.num_rows
             if size >= BATCH_ROWS:
-                names, fp = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                cut = len(fp) - int((names == names[-1]).all(1)[::-1].argmin()) if (names[0] != names[-1]).any() else 0
+                cell, fp, near = joined()
+                cut = len(fp) - int((cell == cell[-1]).all(1)[::-1].argmin()) if (cell[0] != cell[-1]).any() else 0
                 if cut:
-                    yield done(names[:cut], fp[:cut])
-                held, size = [(names[cut:], fp[cut:])], len(fp) - cut
+                    yield done(cell[:cut], fp[:cut], near[:cut])
+                held, size = [(cell[cut:], fp[cut:], near[cut:])], len(fp) - cut
         if size:
-            yield done(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            yield done(*joined())
 
     dealt = cells.repartition(shuffle_partitions(spark), "t", "v", "i", "j").sortWithinPartitions("t", "v", "i", "j", "fp")
     return dealt.mapInArrow(run, "a long, b long")
@@ -180,11 +196,16 @@ def keep_one(documents: DataFrame, groups: DataFrame) -> DataFrame:
     least = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"))
     groups = written(groups.join(least, "root").select("doc_id", "text_hash", (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))).alias("first")), "chosen")
     first = F.col("first")
-    other = small_or_shuffled(written(groups.where(~first).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct(), "duplicates"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(text_column()) == F.col("__t"))
-    kept = documents.join(other, same, "left_anti")
+    doc, text = fresh(documents, "doc", "text")
+
+    def keys(rows: DataFrame) -> DataFrame:
+        return small_or_shuffled(written(rows.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct(), "row-keys"))
+
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text_column()) == F.col(text))
+    kept = documents.join(keys(groups.where(~first)), same, "left_anti")
     alike = groups.where(first).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
     if not alike.limit(1).count():
         return kept
-    by_text = kept.withColumn("__t", F.xxhash64(text_column()))
-    return by_text.dropDuplicates(["doc_id", "__t"]).drop("__t")
+    alike = keys(alike)  # only rows that are repeated are shuffled
+    repeated = kept.join(alike, same, "left_semi").withColumn(text, F.xxhash64(text_column())).dropDuplicates(["doc_id", text]).drop(text)
+    return kept.join(alike, same, "left_anti").unionByName(repeated)

@@ -117,6 +117,14 @@ def test_links_keep_components(spark, blocks, cell_rows):
     assert len(rows) < 20 * len(fps)
 
 
+def test_pivot_table_holds_distances(spark):
+    fps = planted(6, 20)
+    refs = simhash.pivots(11)
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    got = np.array([list(r) for r in df.select("fp", *simhash.pivot_table(F.col("fp"), refs)).collect()], np.int64)
+    assert (got[:, 1:].copy().view(np.int8)[:, :11] == np.bitwise_count(got[:, :1].view(np.uint64) ^ refs[None, :])).all()
+
+
 def test_pivots_discard_only_far_pairs():
     fps = np.array(planted(4, 60), np.uint64)
     table = np.bitwise_count(fps[:, None] ^ simhash.pivots(16)[None, :]).astype(int)
@@ -148,6 +156,9 @@ def test_keep_one(spark, hard_documents, empty_documents):
     ids = [r["doc_id"] for r in left if r["doc_id"] is not None]
     assert len(ids) == len(set(ids)) and set(ids) == {r["component_id"] for r in groups.collect() if r["component_id"] is not None}
     assert sum(r["doc_id"] is None for r in left) == 1
+    clash = hard_documents.withColumn("__doc", F.lit(1)).withColumn("__TEXT", F.lit(2)).withColumn("a.b", F.lit(3))
+    again = simhash.keep_one(clash, groups)
+    assert again.columns == clash.columns and again.count() == len(left)
     assert simhash.keep_one(empty_documents, simhash.near_duplicates(empty_documents)).collect() == []
 
 
