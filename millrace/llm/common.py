@@ -1,7 +1,8 @@
 """Shared folder, tables and file access for the training-data operators.
 
 Everything that a later job reads lies below ``spark.checkpoint.dir``, the one folder that the
-driver and all executors share. Where that setting is missing (tests) a temporary folder is used.
+driver and all executors share. Where that setting is missing, a temporary folder is used in local mode
+(tests), and an error is raised on a cluster. Folders stay until ``drop_folders`` removes them.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ def shared_root(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="millrace-")
     atexit.register(shutil.rmtree, folder, True)
     spark.sparkContext.setCheckpointDir(folder)
@@ -40,6 +44,7 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own below the shared folder; nothing is created yet."""
+    ship(spark)
     path = f"{shared_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"
     _made.append(path)
     return path

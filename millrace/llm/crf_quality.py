@@ -5,15 +5,16 @@ and good runs over a document's lines. Forward and backward messages give each l
 being good; the document's score is their mean, weighted by the lines' numbers of characters.
 
 The chain learns from documents with a label of their own: all lines of a document carry its label.
-Training takes at most ``max_documents`` of them (those with the smallest hash of doc_id, of at most
-``max_lines`` lines), on the driver, from features that the executors compute; scoring reads every
-whole text.
+Training takes at most ``max_documents`` of them (those with the smallest hash of doc_id, and of a
+document with more than ``max_lines`` lines so many neighbouring ones), on the driver, from features that
+the executors compute; scoring reads every whole text.
 """
 
 from __future__ import annotations
 
 import operator
 import re
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import text_column, written
+from millrace.llm.common import fresh, slices, text_column, written
 
 _SYMBOLS, _DIGITS, _ENDS = b"#*$%&|<>{}[]\\^~@=+_", b"0123456789", b".!?:;\"')"
 _NOT_UPPER = re.compile(r"[a-zß-öø-ÿ]")
@@ -157,19 +158,27 @@ def fold(doc_id: Column) -> Column:
 def fit_quality(documents: DataFrame, labels: DataFrame, max_documents: int = 3000, max_lines: int = 400) -> LineCrf:
     """Learn from at most ``max_documents`` labelled rows whose fold isn't 1.
 
-    A doc_id with several labels has the greatest, and one with several texts of at most ``max_lines``
-    lines has that of the least hash; null labels and doc_ids are left out. Only the chosen
-    ids (a bounded number) are broadcast.
+    A doc_id with several labels has the greatest, and one with several texts that of the least hash; null
+    labels and doc_ids are left out, and labels of documents that aren't there don't count. Of a text with
+    more than ``max_lines`` lines, so many neighbouring ones from a place that its hash gives are learnt
+    from. Only the chosen ids (a bounded number) are broadcast. Without labelled documents of both kinds
+    there is nothing to learn: a warning says so, and the model is a constant.
     """
     doc = F.col("doc_id").cast("long")
     usable = labels.select(doc.alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label is not null").where(fold(F.col("doc_id")) != 1)
-    chosen = usable.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
-    chosen = written(chosen, "labelled")
+    there = documents.select(doc.alias("doc_id"))
+    present = usable.groupBy("doc_id").agg(F.max("label").alias("label")).join(there, "doc_id", "left_semi")
+    chosen = written(present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents), "labelled")
 
     def run(batches):
-        for batch in batches:
-            rows = [(doc_id, text_hash, label, line_features(text)[0]) for doc_id, text_hash, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            rows = [(*r[:3], r[3].tobytes()) for r in rows if len(r[3]) <= max_lines]
+        for batch in slices(batches):
+            rows = []
+            for doc_id, text_hash, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                features = line_features(text)[0]
+                if len(features) > max_lines:
+                    at = text_hash % (len(features) - max_lines + 1)
+                    features = features[at : at + max_lines]
+                rows.append((doc_id, text_hash, label, features.tobytes()))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "text_hash", "label", "features"])
 
@@ -177,6 +186,9 @@ def fit_quality(documents: DataFrame, labels: DataFrame, max_documents: int = 30
     found = texts.mapInArrow(run, "doc_id long, text_hash long, label int, features binary")
     got = found.groupBy("doc_id").agg(F.min(F.struct("text_hash", "label", "features")).alias("row")).select("row.*").collect()
     got = sorted(got, key=lambda r: bytes(r["features"]))  # the fit doesn't depend on the order of tasks
+    kinds = {r["label"] for r in got}
+    if len(kinds) < 2:
+        warnings.warn(f"quality: {len(got)} labelled documents, of labels {sorted(kinds)}: nothing is learnt", RuntimeWarning, stacklevel=2)
     return LineCrf.fit([np.frombuffer(r["features"], np.float32).reshape(-1, WIDTH) for r in got], np.array([r["label"] for r in got]))
 
 
@@ -189,11 +201,9 @@ def score_quality(documents: DataFrame, model: LineCrf) -> DataFrame:
     kept = documents.drop("score", "predicted")
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                score = model.scores(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=[*part.schema.names[:-1], "score", "predicted"])
+        for part in slices(batches, 512):
+            score = model.scores(part.column(part.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=[*part.schema.names[:-1], "score", "predicted"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return kept.select("*", text_column().alias("__text")).mapInArrow(run, schema)
+    return kept.select("*", text_column().alias(fresh(kept, "text")[0])).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_column
+from millrace.llm.common import column, fresh, text_column
 
 #: Fixed patterns of the three kinds; the last number is the least length of the given group.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -196,15 +196,16 @@ def find_secrets(documents: DataFrame, rules: EntropyRules | None = None) -> Dat
         return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind"), F.lit(name).alias("name")))
 
     base = F.concat(named(_spans(text, ASSIGN, (2, ASSIGN_LEAST)), 0, "assign"), named(_spans(text, ACCESS), 1, "access"), named(_spans(text, HEX), 2, "hex"))
-    order = [c for c in documents.columns if c != "secret_spans"]
+    order = [column(c) for c in documents.columns if c.lower() != "secret_spans"]
+    of_base, of_blank = fresh(documents, "base", "blank")
     # A generated row is a border beyond which the optimiser doesn't copy the expressions of its columns.
-    with_base = documents.select(*order, F.inline(F.array(F.struct(base.alias("__base")))))
+    with_base = documents.select(*order, F.inline(F.array(F.struct(base.alias(of_base)))))
     searched = text
     if rules.parts:
-        blank = _replaced(text, F.array_sort(F.col("__base")), lambda x: F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], x["at"]), F.lit(0))))
-        blank = F.when(F.size("__base") > 0, blank).otherwise(text)
-        with_base, searched = with_base.select("*", F.inline(F.array(F.struct(blank.alias("__blank"))))), F.col("__blank")
-    found = F.concat(F.col("__base"), named(_entropy_spans(searched, F.col("__base"), rules), 3, "entropy"))
+        blank = _replaced(text, F.array_sort(F.col(of_base)), lambda x: F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], x["at"]), F.lit(0))))
+        blank = F.when(F.size(of_base) > 0, blank).otherwise(text)
+        with_base, searched = with_base.select("*", F.inline(F.array(F.struct(blank.alias(of_blank))))), F.col(of_blank)
+    found = F.concat(F.col(of_base), named(_entropy_spans(searched, F.col(of_base), rules), 3, "entropy"))
     by_start = F.array_sort(found, lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["kind"] - b["kind"]))
     return with_base.select(*order, F.inline(F.array(F.struct(by_start.alias("secret_spans")))))
 
@@ -239,6 +240,6 @@ def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     text, spans = F.col("text"), F.col("secret_spans")
     done = _replaced(text, spans, lambda x: F.when(x["s"] >= x["at"], F.lit(mark)).otherwise(""))
     hit = F.size(spans) > 0
-    out = found.select(*(F.when(hit, done).otherwise(text).alias("text") if c == "text" else F.col(c) for c in found.columns))
-    out = out.select(*(F.when(hit, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in out.columns))
+    out = found.select(*(F.when(hit, done).otherwise(text).alias("text") if c == "text" else column(c) for c in found.columns))
+    out = out.select(*(F.when(hit, F.length("text").cast("long")).otherwise(column(c)).alias(c) if c == "n_chars" else column(c) for c in out.columns))
     return out.drop("secret_spans")

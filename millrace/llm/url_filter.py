@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import filesystem, new_folder
+from millrace.llm.common import filesystem, fresh, new_folder
 
 SHARD_KEYS, MIN_SHARDS, CACHE_BYTES, MAX_LEVELS = 100_000, 64, 64 << 20, 200
 _SHARD_SALT, _KEY_SALT = "millrace shard", "millrace second"
@@ -98,10 +98,6 @@ class Cascade:
         return cls(levels)
 
 
-def _hashes(key: Column) -> tuple[Column, Column]:
-    return F.xxhash64(key), F.xxhash64(key, F.lit(_KEY_SALT))
-
-
 class CascadeTable:
     """A built cascade: ``files`` names for each shard with listed keys the Parquet file that holds it."""
 
@@ -186,7 +182,8 @@ def mark_listed(rows: DataFrame, key: str, cascade: CascadeTable, name: str = "l
 
     k = F.col(key).cast("string")
     schema = T.StructType([*kept.schema.fields, T.StructField(name, T.BooleanType())])
-    return kept.select("*", k.isNotNull().alias("__has"), *(c.alias(f"__{i}") for i, c in enumerate(_dealt(k, cascade.shards)))).mapInArrow(run, schema)
+    has, *own = fresh(kept, "has", "0", "1", "2")
+    return kept.select("*", k.isNotNull().alias(has), *(c.alias(n) for n, c in zip(own, _dealt(k, cascade.shards), strict=True))).mapInArrow(run, schema)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
