@@ -1,14 +1,18 @@
 """Topics as folders: ``topic/batch=<b>/partition=<p>/*.parquet`` with contiguous offsets in each partition.
 
-A produced batch is written under its batch number and replaces what an earlier try of the same batch
-left, so producing is idempotent. Offsets go on from the greatest one of earlier batches.
+A produced batch appears under its batch number in one step; a batch that is there already is not written
+again, so producing is idempotent for table and stream readers alike. Offsets go on from those of earlier
+batches; each batch keeps the next ones in a file, so that the log isn't read for them.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace import files
 from millrace.operators.partition import route
 from millrace.sources import RECORD, stream_files
 
@@ -21,13 +25,9 @@ class Topic:
             raise ValueError("a topic has at least one partition")
         self.spark, self.path, self.partitions = spark, path.rstrip("/"), partitions
 
-    def _exists(self) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
     def read(self) -> DataFrame:
         """All records of committed batches."""
-        if not self._exists():
+        if not self._batches():
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(self.path)
 
@@ -44,9 +44,21 @@ class Topic:
         """Append rows (key, value) as batch number ``batch``, routed by key, in ``order`` within a partition."""
         from pyspark.sql import Window
 
-        earlier = self.read().where(F.col("batch") < batch).groupBy("partition").agg((F.max("offset") + 1).alias("__next"))
+        if batch in self._batches():
+            return
+        earlier = self._next_offsets(batch)
         number = F.row_number().over(Window.partitionBy("partition").orderBy(*order)).cast("long") - 1
-        counter = F.xxhash64(*order)
-        routed = route(rows, "key", self.partitions, counter).withColumn("offset", number).join(F.broadcast(earlier), "partition", "left")
-        out = routed.select("partition", (F.col("offset") + F.coalesce("__next", F.lit(0))).alias("offset"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), (timestamp if timestamp is not None else F.current_timestamp()).alias("timestamp"), F.lit(batch).cast("long").alias("batch"))
-        out.drop("batch").write.mode("overwrite").partitionBy("partition").parquet(f"{self.path}/batch={batch}")
+        routed = route(rows, "key", self.partitions, F.xxhash64(*order)).withColumn("offset", number)
+        base = F.element_at(F.array(*(F.lit(n).cast("long") for n in earlier)), F.col("partition") + 1)
+        out = routed.select("partition", (F.col("offset") + base).alias("offset"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), (timestamp if timestamp is not None else F.current_timestamp()).alias("timestamp"))
+        added = {r["partition"]: r["count"] for r in routed.groupBy("partition").count().collect()}
+        after = [n + added.get(p, 0) for p, n in enumerate(earlier)]
+        files.commit(out, self.path, f"batch={batch}", "partition", extra={"_next.json": json.dumps(after)})
+
+    def _batches(self) -> list[int]:
+        return sorted(int(n[6:]) for n in files.names(self.spark, self.path) if n.startswith("batch=") and n[6:].isdigit())
+
+    def _next_offsets(self, batch: int) -> list[int]:
+        """The next offset of each partition before ``batch``."""
+        earlier = [b for b in self._batches() if b < batch]
+        return json.loads(files.read_text(self.spark, f"{self.path}/batch={earlier[-1]}/_next.json")) if earlier else [0] * self.partitions

@@ -10,10 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from millrace import files
 
-def batch_writer(path: str, order: list[str], fail_after: int | None = None) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: batch n goes to ``path/batch_id=n``, replacing an earlier try, with dedup_id
-    ``task|batch|seq``. ``fail_after`` raises after writing that batch once, for tests of recovery."""
+
+def batch_writer(path: str, order: list[str], fail_after: int | None = None, dedup: bool = True) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: batch n becomes ``path/batch_id=n`` in one step, with dedup_id ``task|batch|seq``.
+
+    A batch that is there already is not written again, so whoever reads the folder, a stream of its files
+    too, gets each record once. With ``dedup`` off every try is added, as a sink without that check does;
+    ``unique`` drops the repeated ids. ``fail_after`` raises after writing that batch once, for tests of
+    recovery.
+    """
     state = {"failed": False}
 
     def write(df: DataFrame, batch_id: int) -> None:
@@ -22,7 +29,11 @@ def batch_writer(path: str, order: list[str], fail_after: int | None = None) ->
         shard = F.pmod(F.xxhash64(*order), F.lit(8)).cast("int")
         seq = F.row_number().over(Window.partitionBy("__shard").orderBy(*order)) - 1
         rows = df.withColumn("__shard", shard).withColumn("seq", seq)
-        rows.withColumn("dedup_id", F.concat_ws("|", "__shard", F.lit(batch_id), "seq")).drop("__shard").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        rows = rows.withColumn("dedup_id", F.concat_ws("|", "__shard", F.lit(batch_id), "seq")).drop("__shard")
+        if dedup:
+            files.commit(rows, path, f"batch_id={batch_id}")
+        else:
+            rows.write.mode("append").parquet(f"{path}/batch_id={batch_id}")
         if fail_after is not None and batch_id == fail_after and not state["failed"]:
             state["failed"] = True
             raise RuntimeError(f"stopped on purpose after batch {batch_id}")
@@ -30,8 +41,13 @@ def batch_writer(path: str, order: list[str], fail_after: int | None = None) ->
     return write
 
 
-def exactly_once(df: DataFrame, path: str, checkpoint: str, order: list[str], fail_after: int | None = None, mode: str = "append") -> DataStreamWriter:
-    return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(batch_writer(path, order, fail_after))
+def unique(rows: DataFrame) -> DataFrame:
+    """Rows of a sink once each, by their dedup_id."""
+    return rows.dropDuplicates(["dedup_id"])
+
+
+def exactly_once(df: DataFrame, path: str, checkpoint: str, order: list[str], fail_after: int | None = None, mode: str = "append", dedup: bool = True) -> DataStreamWriter:
+    return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(batch_writer(path, order, fail_after, dedup))
 
 
 def drain(writer: DataStreamWriter, timeout: float | None = None) -> StreamingQuery:

@@ -1,57 +1,51 @@
 """Materialised views: named key/value tables that batches of changes keep up to date, and a query API.
 
-A view is a series of snapshot versions; a pointer file names the current one. Applying batch n twice
-writes version n twice with the same rows, so replays change nothing. Readers see whole versions.
+A view is a series of snapshot versions, each a folder that appears in one step; the greatest is the
+current one, and ``keep`` of them stay for readers. Applying batch n twice changes nothing. Readers see
+whole versions. All goes through the file system that Spark uses.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import threading
-import uuid
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace import files
+
 
 class View:
     """Columns: key string, value string or long. ``folder`` must be shared by all that use the view."""
 
-    def __init__(self, spark: SparkSession, name: str, folder: str, kind: str = "string"):
+    def __init__(self, spark: SparkSession, name: str, folder: str, kind: str = "string", keep: int = 3):
         if kind not in ("string", "long"):
             raise ValueError("a view holds strings or longs")
-        self.spark, self.name, self.folder, self.kind = spark, name, folder, kind
+        if keep < 2:
+            raise ValueError("a view keeps the version that a new one is made from")
+        self.spark, self.name, self.folder, self.kind, self.keep = spark, name, folder.rstrip("/"), kind, keep
         self.schema = f"key string, value {kind}"
-        os.makedirs(folder, exist_ok=True)
 
-    def _current(self) -> dict | None:
-        try:
-            with open(os.path.join(self.folder, "current.json")) as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return None
+    def _versions(self) -> list[int]:
+        return sorted(int(n[8:]) for n in files.names(self.spark, self.folder) if n.startswith("version-") and n[8:].isdigit())
 
     @property
     def version(self) -> int:
-        now = self._current()
-        return now["version"] if now else -1
+        return max(self._versions(), default=-1)
 
     def table(self) -> DataFrame:
-        now = self._current()
-        if now is None:
+        version = self.version
+        if version < 0:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(now["path"])
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/version-{version}")
 
     def _publish(self, rows: DataFrame, version: int) -> None:
-        path = os.path.join(self.folder, f"version-{version}-{uuid.uuid4().hex}")
-        rows.write.parquet(path)
-        part = os.path.join(self.folder, f".current-{uuid.uuid4().hex}")
-        with open(part, "w") as f:
-            json.dump({"version": version, "path": path, "before": (self._current() or {}).get("path")}, f)
-        os.replace(part, os.path.join(self.folder, "current.json"))
+        files.commit(rows, self.folder, f"version-{version}")
+        for old in self._versions()[: -self.keep]:
+            files.delete(self.spark, f"{self.folder}/version-{old}")
 
     def _base(self, batch_id: int) -> DataFrame | None:
         """The snapshot before a batch, or None if the batch is in the view already."""
@@ -103,7 +97,7 @@ class Registry:
     def register(self, name: str, kind: str = "string") -> View:
         with self._lock:
             if name not in self._views:
-                self._views[name] = View(self.spark, name, os.path.join(self.folder, name), kind)
+                self._views[name] = View(self.spark, name, f"{self.folder}/{name}", kind)
             elif self._views[name].kind != kind:
                 raise ValueError(f"view {name} holds {self._views[name].kind}s")
             return self._views[name]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.operators import windows
 from millrace.plans import jobs
 from millrace.sources import stream_files
+from millrace.sources.topics import Topic
 from millrace.streaming import sinks
 from millrace.streaming.stream import Stream
 
@@ -116,6 +117,37 @@ def test_exactly_once_after_failure(spark, tmp_path):
     assert len(ids) == len(set(ids)) == 240 and [b["status"] for b in sinks.batches(cp)] == ["C"] * 3
 
 
+def test_replay_between_stream_reads(spark, tmp_path):
+    """A batch that is written again, before, between and after reads of a stream, gives each record once."""
+    topic = Topic(spark, f"{tmp_path}/topic", 2)
+    frames = [spark.createDataFrame([(f"k{i}", f"v{n}-{i}") for i in range(3)], "key string, value string") for n in range(3)]
+
+    def read():
+        sinks.drain(sinks.exactly_once(topic.stream().select("key", "value"), f"{tmp_path}/out", f"{tmp_path}/cp", ["key"]))
+
+    for n, frame in enumerate(frames):
+        topic.produce(frame, n, ["key"])
+        topic.produce(frame, n, ["key"])
+        read()
+        topic.produce(frame, n, ["key"])
+        read()
+    got = spark.read.parquet(f"{tmp_path}/out").select("value").collect()
+    assert sorted(r["value"] for r in got) == sorted(f"v{n}-{i}" for n in range(3) for i in range(3))
+    log = topic.read().collect()
+    for p in range(2):
+        assert sorted(r["offset"] for r in log if r["partition"] == p) == list(range(sum(r["partition"] == p for r in log)))
+
+
+def test_dedup_can_be_switched_off(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, id long")
+    for dedup, n in ((True, 2), (False, 4)):
+        write = sinks.batch_writer(f"{tmp_path}/{dedup}", ["id"], dedup=dedup)
+        write(rows, 0)
+        write(rows, 0)
+        out = spark.read.parquet(f"{tmp_path}/{dedup}")
+        assert out.count() == n and sinks.unique(out).count() == 2
+
+
 def test_late_rows(spark, tmp_path):
     """A row whose window has closed is dropped and counted; the router gives it to its own sink."""
     lines = [[("5000\ta b",), ("14500\ta",)], [("14600\tc",)], [("100\tlate",), ("12000\tb",)], [("999999\tend",)]]
