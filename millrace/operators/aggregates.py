@@ -50,11 +50,17 @@ def count(df: DataFrame, *keys: str) -> DataFrame:
 def reduce(df: DataFrame, key: str, order: Sequence[str], init: Callable, step: Callable, schema: str, combine: Callable | None = None, changelog: bool = False, salts: int = 16) -> DataFrame:
     """Fold the rows of each key, in order, with Python functions: acc = init(row), then step(acc, row).
 
-    ``schema`` is that of (key, value); a row is a named tuple of the input's columns. Rows of a task
+    Rows with a null key are a key of their own. ``schema`` is that of (key, value); a row is a named tuple of the input's columns. Rows of a task
     are sorted by key and order and folded one after another, so memory doesn't depend on a key's rows.
     An opaque fold can't be split; give ``combine(acc, acc)`` if order doesn't matter, and keys are
     folded in ``salts`` parts first. ``changelog`` emits the value after every row.
     """
+    if key != "__key" and df.schema[key].dataType.typeName() not in ("string", "binary"):
+        # pandas would turn numbers into floats, and nulls into values that equal nothing: keys go as text
+        kind = df.schema[key].dataType
+        name = schema.split(",")[0].split()[0]
+        text = reduce(df.withColumn("__key", F.col(key).cast("string")), "__key", order, init, step, ",".join([f"{name} string", *schema.split(",")[1:]]), combine, changelog, salts)
+        return text.withColumn(name, F.col(name).cast(kind))
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [x.strip().split()[0] for x in schema.split(",")]
@@ -65,7 +71,7 @@ def reduce(df: DataFrame, key: str, order: Sequence[str], init: Callable, step:
             for batch in batches:
                 keys, values = [], []
                 for row in batch.itertuples(index=False):
-                    k = row[place]
+                    k = None if row[place] is None or row[place] != row[place] else row[place]
                     if open_ and k == at:
                         acc = go(acc, row)
                     else:
@@ -87,7 +93,7 @@ def reduce(df: DataFrame, key: str, order: Sequence[str], init: Callable, step:
     if combine is None or changelog:
         return df.repartition(n, key).sortWithinPartitions(key, *order).mapInPandas(folded(init, step, changelog, place), schema)
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    # the salt stands beside the key in the sort, so that parts of a key in one task are folded apart or together alike
+    # parts of a key that meet in one task are folded together: ``combine`` gives the same either way
     part = salted.repartition(n, key, "__salt").sortWithinPartitions(key, *order).drop("__salt").mapInPandas(folded(init, step, False, place), schema)
     merge = folded(lambda row: row[1], lambda acc, row: combine(acc, row[1]), False, 0)
     return part.repartition(n, names[0]).sortWithinPartitions(names[0]).mapInPandas(merge, schema)

@@ -19,7 +19,11 @@ def round_robin(df: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def replicas(spark: SparkSession, partitions: int, brokers: list[int], factor: int = 3) -> DataFrame:
-    """(partition, leader, followers): leaders in turn, followers next in the ring; factor is cut to the brokers."""
+    """(partition, leader, followers): leaders in turn over the sorted broker ids, followers next in the
+    ring; factor is cut to the brokers. There must be a partition and a broker."""
+    if partitions < 1 or not brokers:
+        raise ValueError("a topic has at least one partition and one broker")
+    brokers = sorted(set(brokers))
     n = len(brokers)
     factor = max(1, min(factor, n))
     ids = F.array(*map(F.lit, brokers))

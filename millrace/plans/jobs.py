@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import event_ms, event_time, payload, tsv, words
-from millrace.operators import aggregates, cdc, joins, windows
+from millrace.operators import aggregates, cdc, joins, partition, windows
 
 
 def word_count(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -31,9 +31,15 @@ def event_time_word_count(lines: DataFrame, size: str = "5 seconds", out_of_orde
     return windows.tumbling(df, ["word"], "event_time", size)
 
 
-def doubled(lines: DataFrame) -> DataFrame:
-    """(n, doubled) for values that are whole numbers; others are left out."""
-    return lines.select(F.trim("value").try_cast("long").alias("n")).where("n is not null").select("n", (F.col("n") * 2).alias("doubled"))
+def doubled(lines: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(n, doubled) for values that are whole numbers of 64 bits, without white space; others are left out.
+
+    The double wraps beyond 64 bits. With ``partitions`` also key, the original number as text, and the
+    partition that this key is routed to.
+    """
+    n = F.when(F.col("value").rlike(r"^[+-]?[0-9]+$") & ~F.col("value").rlike(r"\s"), F.col("value").try_cast("long"))
+    out = lines.select(n.alias("n")).where("n is not null").select("n", F.shiftleft("n", 1).alias("doubled"))
+    return out if partitions is None else partition.route(out.withColumn("key", F.col("n").cast("string")), "key", partitions)
 
 
 def changes_joined_to_view(before: DataFrame, after: DataFrame, pk: str, events: DataFrame, key: str, ts: str, changed_at: str, lower: str, upper: str) -> DataFrame:

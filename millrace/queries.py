@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from millrace import functions as fn
 from millrace.operators import aggregates, cdc, joins, late, partition, windows
 from millrace.plans import jobs, sqlfront
+from millrace.session import shared_folder
 from millrace.sources import table
+from millrace.views import View
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -175,6 +178,14 @@ def filter_map(spark, sf):
     return events(spark, sf).where("value > 50 AND event_type <> 'error'").select("event_id", F.upper("event_type").alias("kind"), (F.col("value") * 2).alias("value"), "user_id")
 
 
+@query("""WITH RECURSIVE texts AS (SELECT CAST(event_id AS VARCHAR) AS key FROM events WHERE event_id % 3 <> 0),
+fnv AS (SELECT key, 0 AS done, 2166136261::BIGINT AS h FROM texts UNION ALL SELECT key, done + 1, (xor(h, ascii(key[done + 1])::BIGINT) * 16777619) % 4294967296 FROM fnv WHERE done < length(key))
+SELECT CAST(key AS BIGINT) AS n, 2 * CAST(key AS BIGINT) AS doubled, key, CAST(h % 4 AS INTEGER) AS partition FROM fnv WHERE done = length(key)""")
+def doubler_routed(spark, sf):
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x"), "event_id")).otherwise(F.col("event_id").cast("string"))
+    return jobs.doubled(events(spark, sf).select(raw.alias("value")), 4)
+
+
 @query("SELECT CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) * 2 AS doubled FROM (SELECT TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'x' || event_id ELSE CAST(event_id AS VARCHAR) END AS BIGINT) AS n FROM events) WHERE n IS NOT NULL")
 def doubler(spark, sf):
     raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x"), "event_id")).otherwise(F.col("event_id").cast("string"))
@@ -287,21 +298,44 @@ def operator_counters(spark, sf):
     return table(spark, sf, "documents").agg(F.count("*").alias("records_in"), F.sum(F.size(fn.words("text"))).cast("long").alias("records_out"))
 
 
+def _view(spark, kind: str) -> View:
+    return View(spark, "query", f"{shared_folder(spark)}/view-{uuid.uuid4().hex}", kind)
+
+
+def _halves(changes: DataFrame) -> list[DataFrame]:
+    """All changes as two batches, earlier and later events."""
+    half = (changes.agg(F.max("event_id")).first()[0] or 0) // 2
+    return [changes.where(F.col("event_id") <= half), changes.where(F.col("event_id") > half)]
+
+
+def _entries(spark, sf, view: View) -> DataFrame:
+    return view.table().withColumn("key", F.col("key").cast(events(spark, sf).schema["user_id"].dataType))
+
+
 @query("SELECT user_id AS key, value FROM (SELECT user_id, arg_max(event_type, event_id) AS value FROM events GROUP BY user_id) WHERE value <> 'error'")
 def view_upsert(spark, sf):
-    last = aggregates.latest(events(spark, sf), ["user_id"], "event_id", "event_type")
-    return last.where("event_type <> 'error'").select(F.col("user_id").alias("key"), F.col("event_type").alias("value"))
+    view = _view(spark, "string")
+    changes = events(spark, sf).select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), "event_id", (F.col("event_type") == "error").alias("gone"))
+    for batch, part in enumerate(_halves(changes)):
+        view.upsert(part, batch, "event_id", "gone")
+    return _entries(spark, sf, view)
 
 
 @query("SELECT user_id AS key, count(*) AS value FROM events GROUP BY 1")
 def view_count(spark, sf):
-    return aggregates.count(events(spark, sf), "user_id").select(F.col("user_id").alias("key"), F.col("count").alias("value"))
+    view = _view(spark, "long")
+    for batch, part in enumerate(_halves(events(spark, sf).select(F.col("user_id").cast("string").alias("key"), "event_id"))):
+        view.add(part, batch)
+    return _entries(spark, sf, view)
 
 
 @query("SELECT user_id AS key, CAST(sum(CAST(floor(value * 100) AS BIGINT) * CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) AS BIGINT) AS value FROM events GROUP BY 1")
 def view_sum(spark, sf):
     delta = F.floor(F.col("value") * 100).cast("long") * F.when(F.col("event_type") == "error", -1).otherwise(1)
-    return events(spark, sf).groupBy(F.col("user_id").alias("key")).agg(F.sum(delta).alias("value"))
+    view = _view(spark, "long")
+    for batch, part in enumerate(_halves(events(spark, sf).select(F.col("user_id").cast("string").alias("key"), "event_id", delta.alias("delta")))):
+        view.add(part, batch, "delta")
+    return _entries(spark, sf, view)
 
 
 def _snapshots(spark, sf) -> tuple[DataFrame, DataFrame]:

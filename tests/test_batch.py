@@ -216,6 +216,10 @@ def test_fnv_and_routing(spark):
 def test_assignment(spark):
     assert rows(partition.replicas(spark, 4, [0, 1, 2])) == [(0, 0, [1, 2]), (1, 1, [2, 0]), (2, 2, [0, 1]), (3, 0, [1, 2])]
     assert rows(partition.replicas(spark, 2, [7], 3)) == [(0, 7, []), (1, 7, [])]
+    assert rows(partition.replicas(spark, 4, [2, 0, 1])) == rows(partition.replicas(spark, 4, [0, 1, 2]))
+    for bad in ((0, [1]), (-1, [1]), (1, [])):
+        with pytest.raises(ValueError):
+            partition.replicas(spark, *bad)
     p = spark.range(4).select(F.col("id").cast("int").alias("partition"))
     assert rows(partition.range_assign(p, 2, 4)) == [(0, 0), (1, 0), (2, 1), (3, 1)]
     assert [m for _, m in rows(partition.range_assign(p, 3, 4))] == [0, 0, 1, 2]
@@ -238,8 +242,29 @@ def test_topic(spark, tmp_path):
 
 
 def test_doubled(spark):
-    df = spark.createDataFrame([(str(i),) for i in range(1, 11)] + [("x",), (None,), (" 5 ",)], "value string")
-    assert sorted(r["doubled"] for r in jobs.doubled(df).collect()) == sorted([2 * i for i in range(1, 11)] + [10])
+    df = spark.createDataFrame([(str(i),) for i in range(1, 11)] + [("x",), (None,), (" 5 ",), ("7\n",), ("+3",), ("9" * 19,), (str(2**62),), (str(-(2**63)),)], "value string")
+    assert sorted(r["doubled"] for r in jobs.doubled(df).collect()) == sorted([2 * i for i in range(1, 11)] + [6, -(2**63), 0])
+    routed = {r["n"]: (r["key"], r["partition"]) for r in jobs.doubled(df, 4).collect()}
+    want = df.where("value <> 'x'").select("value", fn.partition_of("value", 4).alias("p")).collect()
+    assert all(routed[int(r["value"])] == (r["value"], r["p"]) for r in want if r["value"].isdigit() and int(r["value"]) < 2**63)
+
+
+def test_reduce_with_null_and_large_keys(spark):
+    big = 2**53 + 1
+    for kind, keys in (("long", [None, 7, big, big - 1]), ("string", [None, "", "a", "b"]), ("timestamp", [None, datetime(2024, 1, 1), datetime(2024, 1, 2), datetime(2024, 1, 3)])):
+        df = spark.createDataFrame([(k, i, float(i)) for i in range(3) for k in keys], f"k {kind}, i int, v double")
+        for combine in (None, lambda a, b: a + b):
+            got = aggregates.reduce(df, "k", ["i"], lambda r: int(r.i) + 1, lambda acc, r: acc + int(r.i) + 1, f"k {kind}, total long", combine).collect()
+            assert sorted(((r["k"], r["total"]) for r in got), key=str) == sorted(((k, 6) for k in keys), key=str)
+            assert got[0].__fields__ == ["k", "total"]
+
+
+def test_views_keep_few_versions(spark, tmp_path):
+    view = Registry(spark, f"file://{tmp_path}").register("n", "long")
+    for batch in range(6):
+        view.add(spark.createDataFrame([("a",), ("b",)], "key string"), batch)
+        view.add(spark.createDataFrame([("a",)], "key string"), batch)  # again: nothing
+    assert view.version == 5 and rows(view.table()) == [("a", 6), ("b", 6)] and len(view._versions()) == 3
 
 
 def test_scalars(spark):
