@@ -7,17 +7,16 @@ driver and all executors share. Where that setting is missing, a temporary folde
 
 from __future__ import annotations
 
-import atexit
 import os
 import re
-import shutil
-import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import shared_folder
+
 #: Rows of a table that may be broadcast; a table of more rows is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -25,27 +24,10 @@ BROADCAST_ROWS = 200_000
 _made: list[str] = []
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where unset, a temporary one that is set here."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="millrace-")
-    atexit.register(shutil.rmtree, folder, True)
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own below the shared folder; nothing is created yet."""
     ship(spark)
-    path = f"{shared_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/millrace/{name}-{uuid.uuid4().hex}"
     _made.append(path)
     return path
 

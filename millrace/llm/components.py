@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_root, written
+from millrace.llm.common import written
+from millrace.session import shared_folder
 
 MAX_ROUNDS = 60
 
@@ -20,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops, repeated edges and null ends don't matter; without edges the result is empty.
     """
-    shared_root(edges.sparkSession)
+    shared_folder(edges.sparkSession)
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(edges, "edges")
     before = _mark(edges)
