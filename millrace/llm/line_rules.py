@@ -180,23 +180,25 @@ def drop_rejected(documents: DataFrame, judged: DataFrame, host: str = "source")
     return documents.join(small_or_shuffled(written(rejected, "rejected")), same, "left_anti")
 
 
-def without_lines(documents: DataFrame, counts: DataFrame, removed: DataFrame, host: str = "source") -> DataFrame:
-    """``documents`` with their columns, texts without the ``removed`` (host, h) lines of their host, and
-    n_chars (where there is such a column) of what is left. Texts without such a line stay as they are."""
-    (at, text), same = _keyed(documents, host, "host", "text")
-    gone, hit = fresh(documents, "gone", "hit")
-    lines = counts.select("host", "text_hash", F.inline("lines")).join(small_or_shuffled(removed), ["host", "h"])
-    lists = lines.groupBy(F.col("host").alias(at), F.col("text_hash").alias(text)).agg(F.collect_set("h").alias(gone))
-    rows = documents.join(small_or_shuffled(written(lists, "gone"), 50_000), same, "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(normalised(x)))), "\n")
-    is_hit = F.col(gone).isNotNull()
-    out = rows.select(*(F.when(is_hit, left).otherwise(column(c)).alias(c) if c == "text" else column(c) for c in documents.columns), is_hit.alias(hit))
-    return out.select(*(F.when(F.col(hit), F.length("text").cast("long")).otherwise(column(c)).alias(c) if c == "n_chars" else column(c) for c in documents.columns))
-
-
 def clean_documents(documents: DataFrame, rules: LineRules | None = None, host: str = "source") -> DataFrame:
-    """The documents that ``judge_documents`` keeps, without the lines that it removes."""
+    """The documents that ``judge_documents`` keeps, with their columns, without the lines that it removes.
+
+    n_chars (where there is such a column) is that of what is left. Texts without such a line stay as they
+    are. Verdicts and lines depend on (host, text) alone: those of texts that change or go are one table,
+    joined once, by broadcast if it is small by count; else that join shuffles the texts once.
+    """
     rules = rules or LineRules()
     counts = written(text_counts(documents, rules, host), "line-counts")
     removed = removed_lines(counts, rules)
-    return without_lines(drop_rejected(documents, _judged(counts, removed, rules), host), counts, removed, host)
+    (at, text), same = _keyed(documents, host, "host", "text")
+    gone, out, hit = fresh(documents, "gone", "out", "hit")
+    keys = [F.col("host").alias(at), F.col("text_hash").alias(text)]
+    lines = counts.select("host", "text_hash", F.inline("lines")).join(small_or_shuffled(removed), ["host", "h"])
+    lists = lines.groupBy(*keys).agg(F.collect_set("h").alias(gone))
+    rejected = _judged(counts, removed, rules).where(~F.col("kept")).select(*keys, F.lit(True).alias(out)).distinct()
+    changes = small_or_shuffled(written(lists.join(rejected, [at, text], "full_outer"), "changes"))
+    rows = documents.join(changes, same, "left").where(F.col(out).isNull())
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(normalised(x)))), "\n")
+    is_hit = F.col(gone).isNotNull()
+    cleaned = rows.select(*(F.when(is_hit, left).otherwise(column(c)).alias(c) if c == "text" else column(c) for c in documents.columns), is_hit.alias(hit))
+    return cleaned.select(*(F.when(F.col(hit), F.length("text").cast("long")).otherwise(column(c)).alias(c) if c == "n_chars" else column(c) for c in documents.columns))
