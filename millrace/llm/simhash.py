@@ -10,10 +10,17 @@ Which pairs meet at all: bits are cut into blocks; fingerprints within d bits ag
 pairs meet in cells. A cell with more than ``cell_rows`` fingerprints is cut into parts, and every two
 parts meet in a cell of their own, so no cell is large and no pair is lost. A cell doesn't return its
 pairs but a spanning forest of its links; components then join the forests.
+
+``near_copies`` links by similarity instead of bits. At a similarity of 0.8 a tenth of the bits or more
+differ, too many for blocks, so its fingerprints have 256 bits and its cells are tables of sampled bits:
+many enough that a pair at the bound meets in one with a chance of ``RECALL``. Pivots discard, distances
+build the forests, nearest pairs first, and the exact Jaccard similarity of the forests' pairs decides.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
 from functools import reduce
 from itertools import accumulate, combinations
 
@@ -27,22 +34,55 @@ from millrace.llm.common import fresh, shuffle_partitions, slices, small_or_shuf
 from millrace.llm.components import components
 
 BITS, SEED, CELL_ROWS, BATCH_ROWS = 64, 42, 512, 100_000
+#: Words of a wide fingerprint, the chance that a pair at the bound meets, and standard deviations of its distance.
+WORDS, RECALL, SPREAD = 4, 0.97, 2.33
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """SimHash of a text: A-Z in lower case, words between ASCII white space, shingles with repeats; 0 without words."""
+def shingle_hashes(text: str, shingle: int) -> list[np.ndarray]:
+    """XXH64 of a text's shingles, repeats included, in parts: A-Z in lower case, words between ASCII white space."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return []
     k = min(shingle, len(words))
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = list(accumulate(map(len, words), lambda at, n: at + 1 + n))
     starts = [0, *(e + 1 for e in ends[: len(words) - k])]
-    totals, n = np.zeros(BITS, np.int64), len(starts)
-    for a in range(0, n, 1 << 16):
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[a : a + (1 << 16)], ends[a + k - 1 : a + (1 << 16) + k - 1], strict=True)], "<u8")
+    return [
+        np.array([digest(joined[s:e], SEED) for s, e in zip(starts[a : a + (1 << 16)], ends[a + k - 1 : a + (1 << 16) + k - 1], strict=True)], "<u8")
+        for a in range(0, len(starts), 1 << 16)
+    ]
+
+
+def _majority(parts: list[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes; 0 without any."""
+    totals = np.zeros(BITS, np.int64)
+    for hashes in parts:
         totals += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * totals > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * totals > sum(map(len, parts)), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """SimHash of a text: A-Z in lower case, words between ASCII white space, shingles with repeats; 0 without words."""
+    return _majority(shingle_hashes(text, shingle))
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Sorted hashes of a text's different shingles."""
+    return np.unique(np.concatenate(shingle_hashes(text, shingle) or [np.zeros(0, "<u8")]))
+
+
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Hashes for another word of a wide fingerprint (the 64-bit finaliser of a split-mix generator)."""
+    h = hashes + np.uint64(word * 0x9E3779B97F4A7C15 % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int = WORDS) -> list[int]:
+    """SimHash of ``words`` times 64 bits of a set of hashes."""
+    parts = [hashes[a : a + (1 << 16)] for a in range(0, len(hashes), 1 << 16)]
+    return [_majority([_mixed(p, w) if w else p for p in parts]) for w in range(words)]
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
@@ -62,13 +102,19 @@ def pivots(n: int) -> np.ndarray:
     return np.random.default_rng(64).integers(0, 1 << 64, n, np.uint64, endpoint=False) if n else np.zeros(0, np.uint64)
 
 
-def pivot_table(fp: Column, refs: np.ndarray) -> list[Column]:
-    """A fingerprint's distances to ``refs``, a byte each, eight to a long."""
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-    def signed(x: int) -> int:
-        return x - (1 << 64) if x >> 63 else x
 
-    each = [F.bit_count(fp.bitwiseXOR(F.lit(signed(r)).cast("long"))).cast("long") for r in refs.tolist()]
+def _bits_differ(fp: Column, ref: int) -> Column:
+    return F.bit_count(fp.bitwiseXOR(F.lit(_signed(ref)).cast("long"))).cast("long")
+
+
+def pivot_table(fp: Column | list[Column], refs: np.ndarray) -> list[Column]:
+    """A fingerprint's distances to ``refs``, a byte each (255 for more), eight to a long. A fingerprint of
+    several words has references of as many."""
+    words = fp if isinstance(fp, list) else [fp]
+    each = [F.least(F.lit(255), reduce(Column.__add__, (_bits_differ(w, r) for w, r in zip(words, ref, strict=True)))).cast("long") for ref in refs.reshape(-1, len(words)).tolist()]
     return [reduce(Column.bitwiseOR, (F.shiftleft(d, 8 * i) for i, d in enumerate(each[a : a + 8]))) for a in range(0, len(each), 8)]
 
 
@@ -85,8 +131,29 @@ def blocks_for(rows: int, distance: int) -> int:
     return blocks
 
 
-def _forest(cell: np.ndarray, fp: np.ndarray, table: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links within cells; rows are sorted by cell number; ``table``: distances to pivots."""
+def bound_of(similarity: float, bits: int) -> int:
+    """Bits by which fingerprints of equally large sets of this Jaccard similarity differ, ``SPREAD`` deviations more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return min(bits, math.ceil(bits * share + SPREAD * math.sqrt(bits * share * (1 - share))))
+
+
+def sampled_tables(rows: int, similarity: float, bits: int) -> list[list[int]]:
+    """Masks (a word each) of sampled bits for each table: so many bits that a cell has about 32 of ``rows`` even
+    fingerprints, so many tables that a pair of this similarity agrees in one with a chance of ``RECALL``."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    width = min(bits, max(6, math.ceil(math.log2(max(1, rows) / 32))))
+    count = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - share) ** width)) if share else 1
+    rng = np.random.default_rng(32)
+    chosen = [rng.choice(bits, width, replace=False).tolist() for _ in range(count)]
+    return [[sum(1 << (x % BITS) for x in c if x // BITS == w) for w in range(bits // BITS)] for c in chosen]
+
+
+def _forest(cell: np.ndarray, fp: np.ndarray, table: np.ndarray, distance: int, steps: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links within cells, as row numbers; rows are sorted by cell number.
+
+    ``fp`` has a row of words for each fingerprint, ``table`` its distances to pivots. With more ``steps``
+    links of smaller distances are taken first.
+    """
     root, out = np.arange(len(fp)), []
 
     def find(i: int) -> int:
@@ -95,63 +162,72 @@ def _forest(cell: np.ndarray, fp: np.ndarray, table: np.ndarray, distance: int)
             i = int(root[i])
         return i
 
-    live, step = np.arange(len(fp) - 1), 1
-    while len(live):
-        live = live[live + step < len(fp)]
-        live = live[cell[live] == cell[live + step]]
-        a = live[root[live] != root[live + step]]
-        b = a + step
-        near = (np.abs(table[a] - table[b]) <= distance).all(1)
-        a, b = a[near], b[near]
-        near = np.bitwise_count(fp[a] ^ fp[b]) <= distance
-        for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
-            x, y = find(i), find(j)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                out.append((i, j))
-        if near.any():
-            while not (root[root] == root).all():
-                root[:] = root[root]
-        step += 1
+    for limit in (distance * k // steps for k in range(1, steps + 1)):
+        live, step = np.arange(len(fp) - 1), 1
+        while len(live):
+            live = live[live + step < len(fp)]
+            live = live[cell[live] == cell[live + step]]
+            a = live[root[live] != root[live + step]]
+            b = a + step
+            near = (np.abs(table[a] - table[b]) <= limit).all(1)
+            a, b = a[near], b[near]
+            near = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64) <= limit
+            for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                x, y = find(i), find(j)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((i, j))
+            if near.any():
+                while not (root[root] == root).all():
+                    root[:] = root[root]
+            step += 1
     pairs = np.array(out, np.int64).reshape(-1, 2)
-    return fp[pairs[:, 0]], fp[pairs[:, 1]]
+    return pairs[:, 0], pairs[:, 1]
 
 
 def links(distinct: DataFrame, distance: int = 3, n_pivots: int = 16, blocks: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (a long, b long) between distinct fingerprints (fp long, written) within ``distance`` bits:
     not all of them, but enough that components are the same."""
-    spark = distinct.sparkSession
     blocks = blocks or blocks_for(distinct.count(), distance)
-    masks = block_masks(blocks)
-    chosen = [sum(c) for c in combinations(masks, blocks - distance)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
-    keys = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("v")) for i, m in enumerate(signed)))
+    chosen = [[sum(c)] for c in combinations(block_masks(blocks), blocks - distance)]
+    return _meet(distinct, "fp", ["fp"], chosen, distance, n_pivots, cell_rows)
+
+
+def _meet(distinct: DataFrame, node: str, words: list[str], chosen: list[list[int]], distance: int, n_pivots: int, cell_rows: int, steps: int = 1) -> DataFrame:
+    """Links (a long, b long) between nodes whose fingerprints meet in a cell: rows that agree in the bits
+    of one of the ``chosen`` masks."""
+    fp = [F.col(w) for w in words]
+    masked = [[w.bitwiseAND(F.lit(_signed(m)).cast("long")) for w, m in zip(fp, masks, strict=True)] for masks in chosen]
+    keys = F.array(*(F.struct(F.lit(i).alias("t"), (m[0] if len(m) == 1 else F.xxhash64(*m)).alias("v")) for i, m in enumerate(masked)))
     # computed once for each fingerprint; the copies in cells carry the table
-    table = pivot_table(F.col("fp"), pivots(n_pivots))
+    table = pivot_table(fp, pivots(n_pivots * len(fp)))
     names = [f"d{i}" for i in range(len(table))]
-    rows = distinct.select("fp", *(d.alias(n) for n, d in zip(names, table, strict=True)), F.inline(keys))
+    carried = [*dict.fromkeys([node, *words]), *names]
+    first, last = carried.index(words[0]), len(carried) - len(names)
+    rows = distinct.select(*carried[:last], *(d.alias(n) for n, d in zip(names, table, strict=True)), F.inline(keys))
     large = rows.groupBy("t", "v").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("t", "v", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"))
     large = small_or_shuffled(written(large, "large-cells"))
     parted = rows.join(large, ["t", "v"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64(node), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    cells = parted.select("t", "v", "fp", *names, own.alias("own"), other.alias("other")).select("t", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", *names)
+    cells = parted.select("t", "v", *carried, own.alias("own"), other.alias("other")).select("t", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *carried)
 
     def run(batches):
         held, size = [], 0
 
         def done(cell, fp, near):
             edge = np.concatenate([[True], (cell[1:] != cell[:-1]).any(1)]) if len(fp) else np.zeros(0, bool)
-            a, b = _forest(np.cumsum(edge), fp, near, distance)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            a, b = _forest(np.cumsum(edge), fp[:, first:].view(np.uint64), near.astype(np.int16), distance, steps)
+            return pa.RecordBatch.from_arrays([pa.array(fp[a, 0]), pa.array(fp[b, 0])], names=["a", "b"])
 
         def joined():
             return tuple(np.concatenate([h[k] for h in held]) for k in range(3))
 
         for batch in batches:
             columns = [np.asarray(c, np.int64) for c in batch.columns]
-            near = np.stack(columns[5:], 1).view(np.int8) if len(columns) > 5 else np.zeros((batch.num_rows, 0), np.int8)
-            held.append((np.stack(columns[:4], 1), columns[4].view(np.uint64), near))
+            fp, tables = np.stack(columns[4 : 4 + last], 1), columns[4 + last :]
+            near = np.stack(tables, 1).view(np.uint8) if tables else np.zeros((batch.num_rows, 0), np.uint8)
+            held.append((np.stack(columns[:4], 1), fp, near))
             size += batch.num_rows
             if size >= BATCH_ROWS:
                 cell, fp, near = joined()
@@ -162,7 +238,7 @@ def links(distinct: DataFrame, distance: int = 3, n_pivots: int = 16, blocks: in
         if size:
             yield done(*joined())
 
-    dealt = cells.repartition(shuffle_partitions(spark), "t", "v", "i", "j").sortWithinPartitions("t", "v", "i", "j", "fp")
+    dealt = cells.repartition(shuffle_partitions(distinct.sparkSession), "t", "v", "i", "j").sortWithinPartitions("t", "v", "i", "j", node)
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -179,11 +255,74 @@ def near_duplicates(documents: DataFrame, distance: int = 3, shingle: int = 3, n
     rows = written(fingerprints(documents, shingle), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     found = written(links(classes.select("fp"), distance, n_pivots, blocks, cell_rows), "links")
+    of_class = _rooted(classes, found)
+    return rows.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash", "root")
+
+
+def _rooted(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of classes (fp, least doc_id) that ``found`` links."""
     roots = components(found).withColumnRenamed("node", "fp")
     joined = written(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = joined.join(smallest, "root").select("fp", "root", "component_id")
-    return rows.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash", "root")
+    return joined.join(smallest, "root").select("fp", "root", "component_id")
+
+
+def shingle_rows(documents: DataFrame, shingle: int, keep: bool) -> DataFrame:
+    """(doc_id, text_hash, fp, w0 to w3) for each row, or with ``keep`` (fp, hashes): fp is a hash of the text's
+    set of shingles, w0 to w3 its wide fingerprint, hashes the set itself. A null text is an empty one."""
+
+    def run(batches):
+        for batch in slices(batches):
+            sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
+            fp = pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64))
+            if keep:
+                hashes = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), np.concatenate([*sets, np.zeros(0, "<u8")]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([fp, hashes], names=["fp", "hashes"])
+            else:
+                wide = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, *(pa.array(wide[:, w].copy()) for w in range(WORDS))], names=["doc_id", "text_hash", "fp", *names])
+
+    names = [f"w{w}" for w in range(WORDS)]
+    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64(text_column()).alias("text_hash"), text_column().alias("text"))
+    return rows.mapInArrow(run, "fp long, hashes array<long>" if keep else "doc_id long, text_hash long, fp long, " + ", ".join(f"{n} long" for n in names))
+
+
+def similar_links(documents: DataFrame, classes: DataFrame, similarity: float, shingle: int, n_pivots: int = 16, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Links (a long, b long) between classes (fp, w0 to w3, first: a row's doc_id and text_hash; written)
+    whose sets of shingles have a Jaccard similarity of ``similarity`` or more, which is checked exactly."""
+    words = [f"w{w}" for w in range(WORDS)]
+    bits = BITS * WORDS
+    met = _meet(classes, "fp", words, sampled_tables(classes.count(), similarity, bits), bound_of(similarity, bits), n_pivots, cell_rows, steps=4)
+    pairs = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    doc, text = fresh(documents, "doc", "text")
+    chosen = written(classes.join(ends, "fp", "left_semi").select(F.col("first.doc_id").alias(doc), F.col("first.text_hash").alias(text)), "ends")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text_column()) == F.col(text))
+    sets = written(shingle_rows(documents.join(small_or_shuffled(chosen), same, "left_semi"), shingle, keep=True).dropDuplicates(["fp"]), "sets")
+    of_a = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x"))
+    of_b = sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
+    both = F.size(F.array_intersect("x", "y")).cast("long")
+    least = Fraction(str(similarity))
+    alike = both * (least.numerator + least.denominator) >= (F.size("x").cast("long") + F.size("y")) * least.numerator
+    return pairs.join(of_a, "a").join(of_b, "b").where(alike).select("a", "b")
+
+
+def near_copies(documents: DataFrame, similarity: float = 0.8, shingle: int = 5, n_pivots: int = 16, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """For each row: doc_id, component_id, text_hash (xxhash64 of the text), root (of its component).
+
+    Texts are linked if their sets of ``shingle``-word shingles (a text of fewer words is one shingle; A-Z in
+    lower case, words between ASCII white space) have a Jaccard similarity of ``similarity`` or more; every link
+    is checked exactly. Pairs are found by wide fingerprints: a pair just at the bound is found with a chance of
+    about ``RECALL``, a more similar one nearly surely. Texts without words, null and empty ones too, are one
+    class; texts of the same shingles are one class too. component_id is the smallest doc_id that links reach,
+    or null if there is none; an empty table gives no rows.
+    """
+    rows = written(shingle_rows(documents, shingle, keep=False), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    words = [F.min(f"w{w}").alias(f"w{w}") for w in range(WORDS)]
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), first, *words), "classes")
+    found = written(similar_links(documents, classes, similarity, shingle, n_pivots, cell_rows), "links")
+    return rows.join(_rooted(classes.select("fp", "least"), found), "fp").select("doc_id", "component_id", "text_hash", "root")
 
 
 def keep_one(documents: DataFrame, groups: DataFrame) -> DataFrame:

@@ -83,6 +83,16 @@ def components(keys, linked):
     return {k: find(k) for k in keys}
 
 
+def shingles(text, k=5):
+    words = re.findall("[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def similar(a, b, p=4, q=5):
+    """Whether the Jaccard similarity of two sets is p/q or more."""
+    return q * len(a & b) >= p * len(a | b)
+
+
 def simhash_components(fps):
     keys = sorted(fps)
     return components(keys, [(a, b) for i, a in enumerate(keys) for b in keys[:i] if (fps[a] ^ fps[b]).bit_count() <= 3])

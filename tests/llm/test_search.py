@@ -184,3 +184,55 @@ def test_keep_one_without_unique_ids(spark):
         docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
         left = simhash.keep_one(docs, simhash.near_duplicates(docs, distance=12)).collect()
         assert len(left) == 1 and left[0]["doc_id"] == (None if ids[1] is None else 7)
+
+
+def varied(seed):
+    """Texts with copies at many similarities: some words replaced, some lines repeated, one large group."""
+    rnd = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for n in range(60):
+        words = [rnd.choice(vocabulary) for _ in range(rnd.randint(30, 400))]
+        for edits in (0, 1, 2, 3, 5, 8) if n else [1] * 300:
+            copy = list(words)
+            for _ in range(edits):
+                copy[rnd.randrange(len(copy))] = rnd.choice(vocabulary)
+            texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("cell_rows", [512, 40])
+def test_near_copies_by_brute_force(spark, cell_rows):
+    texts = varied(8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs, cell_rows=cell_rows).collect()}
+    sets = [brute.shingles(t) for t in texts]
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if brute.similar(sets[a], sets[b])]
+    of = brute.components(range(len(texts)), pairs)
+    assert all(of[d] == of[c] for d, c in got.items())  # every link is a true one
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
+    assert len(set(got.values())) <= 1.05 * len(set(of.values()))
+
+
+def test_near_copies_similarity_is_exact(spark):
+    """18 words are 14 shingles; 5 more shingles give 14/19 < 0.8, 3 more give 14/17, and 20 of 25 is 0.8 itself."""
+    def doc(n):
+        return " ".join(f"v{i}" for i in range(n))
+
+    for a, b, alike in ((18, 23, False), (18, 21, True), (24, 29, True), (24, 30, False)):
+        sets = brute.shingles(doc(a)), brute.shingles(doc(b))
+        assert brute.similar(*sets) == alike
+        docs = spark.createDataFrame([(1, doc(a)), (2, doc(b)), (3, doc(a).upper())], "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+        assert got[3] == 1 and (alike or got[2] == 2)
+
+
+def test_near_copies_of_hard_rows(spark, hard_documents, empty_documents):
+    clash = hard_documents.withColumn("fp", F.lit("x")).withColumn("w0", F.lit(1)).withColumn("__doc", F.lit(2)).withColumn("first", F.lit(3))
+    groups = simhash.near_copies(clash)
+    got = groups.collect()
+    assert len(got) == hard_documents.count() and {r["component_id"] for r in got if r["doc_id"] in (0, 1, 2, 3)} == {0}
+    left = simhash.keep_one(clash, groups)
+    assert left.columns == clash.columns and left.count() == len({r["root"] for r in got})
+    assert simhash.near_copies(empty_documents).collect() == []
+    assert simhash.near_copies(spark.createDataFrame([(5, "only one")], "doc_id long, text string")).collect()[0]["component_id"] == 5
