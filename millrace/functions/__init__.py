@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,14 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """``names`` with as many underscores before them that none of ``columns`` has one of them."""
+    taken, mark = {c.lower() for c in columns}, "__"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def words(text: Column | str) -> Column:
     """Array of the maximal runs of a-z and 0-9 of the text in lower case; null and empty texts have none."""
     parts = F.split(F.regexp_replace(F.lower(col(text)), "[^a-z0-9]+", " "), " ")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import fresh
+
 _LEVELS: dict[str, tuple[Callable, Callable]] = {
     "count": (F.sum, lambda before, here: F.coalesce(before, F.lit(0)) + here),
     "sum": (F.sum, lambda before, here: F.coalesce(before + here, here, before)),
@@ -26,21 +28,24 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Co
     ``bucket`` must not fall as ``order`` rises. With ``inclusive`` false the row itself doesn't count.
     """
     first = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}
-    rows = df.withColumn("__b", bucket)
-    parts = rows.groupBy(*keys, "__b").agg(*(first[k](c).alias(f"__{n}") for n, (k, c) in values.items()))
-    over_buckets = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    before = parts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__b").alias("__bb"), *(_LEVELS[k][0](f"__{n}").over(over_buckets).alias(f"__{n}") for n, (k, _) in values.items()))
-    same = F.col("__b").eqNullSafe(F.col("__bb"))
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    here, there, *own = fresh(df.columns, "b", "bb", *(f"k{i}" for i in range(len(keys))), *(f"v_{n}" for n in values))
+    theirs, kept = own[: len(keys)], dict(zip(values, own[len(keys) :], strict=True))
+    rows = df.withColumn(here, bucket)
+    parts = rows.groupBy(*keys, here).agg(*(first[k](c).alias(kept[n]) for n, (k, c) in values.items()))
+    over_buckets = Window.partitionBy(*keys).orderBy(here).rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(*(F.col(k).alias(t) for k, t in zip(keys, theirs, strict=True)), F.col(here).alias(there), *(_LEVELS[k][0](kept[n]).over(over_buckets).alias(kept[n]) for n, (k, _) in values.items()))
+    same = F.col(here).eqNullSafe(F.col(there))
+    for k, t in zip(keys, theirs, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(t))
+    inside = Window.partitionBy(*keys, here).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     joined = rows.join(before, same)
-    return joined.select(*df.columns, *(_LEVELS[k][1](F.col(f"__{n}"), first[k](c).over(inside)).alias(n) for n, (k, c) in values.items()))
+    return joined.select(*df.columns, *(_LEVELS[k][1](F.col(kept[n]), first[k](c).over(inside)).alias(n) for n, (k, c) in values.items()))
 
 
 def running_count(df: DataFrame, key: str, order: Sequence[str], bucket: Column, name: str = "count") -> DataFrame:
     """Changelog of counts: each row with the count of its key so far."""
-    return running(df.withColumn("__one", F.lit(1)), [key], order, bucket, **{name: ("count", "__one")}).drop("__one")
+    (one,) = fresh(df.columns, "one")
+    return running(df.withColumn(one, F.lit(1)), [key], order, bucket, **{name: ("count", one)}).drop(one)
 
 
 def count(df: DataFrame, *keys: str) -> DataFrame:
@@ -55,11 +60,12 @@ def reduce(df: DataFrame, key: str, order: Sequence[str], init: Callable, step:
     An opaque fold can't be split; give ``combine(acc, acc)`` if order doesn't matter, and keys are
     folded in ``salts`` parts first. ``changelog`` emits the value after every row.
     """
-    if key != "__key" and df.schema[key].dataType.typeName() not in ("string", "binary"):
+    if df.schema[key].dataType.typeName() not in ("string", "binary"):
         # pandas would turn numbers into floats, and nulls into values that equal nothing: keys go as text
         kind = df.schema[key].dataType
         name = schema.split(",")[0].split()[0]
-        text = reduce(df.withColumn("__key", F.col(key).cast("string")), "__key", order, init, step, ",".join([f"{name} string", *schema.split(",")[1:]]), combine, changelog, salts)
+        (as_text,) = fresh(df.columns, "key")
+        text = reduce(df.withColumn(as_text, F.col(key).cast("string")), as_text, order, init, step, ",".join([f"{name} string", *schema.split(",")[1:]]), combine, changelog, salts)
         return text.withColumn(name, F.col(name).cast(kind))
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -92,9 +98,10 @@ def reduce(df: DataFrame, key: str, order: Sequence[str], init: Callable, step:
     place = df.columns.index(key)
     if combine is None or changelog:
         return df.repartition(n, key).sortWithinPartitions(key, *order).mapInPandas(folded(init, step, changelog, place), schema)
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    (salt,) = fresh(df.columns, "salt")
+    salted = df.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(salts)))
     # parts of a key that meet in one task are folded together: ``combine`` gives the same either way
-    part = salted.repartition(n, key, "__salt").sortWithinPartitions(key, *order).drop("__salt").mapInPandas(folded(init, step, False, place), schema)
+    part = salted.repartition(n, key, salt).sortWithinPartitions(key, *order).drop(salt).mapInPandas(folded(init, step, False, place), schema)
     merge = folded(lambda row: row[1], lambda acc, row: combine(acc, row[1]), False, 0)
     return part.repartition(n, names[0]).sortWithinPartitions(names[0]).mapInPandas(merge, schema)
 
@@ -102,8 +109,9 @@ def reduce(df: DataFrame, key: str, order: Sequence[str], init: Callable, step:
 def latest(df: DataFrame, keys: Sequence[str], order: Column | str, *values: str) -> DataFrame:
     """The values of each key's last row by ``order``; partial maxima first, so no key is gathered."""
     by = F.col(order) if isinstance(order, str) else order
-    out = df.groupBy(*keys).agg(F.max_by(F.struct(*values), by).alias("__v"))
-    return out.select(*keys, *(F.col(f"__v.{v}").alias(v) for v in values))
+    (last,) = fresh(df.columns, "v")
+    out = df.groupBy(*keys).agg(F.max_by(F.struct(*values), by).alias(last))
+    return out.select(*keys, *(F.col(last)[v].alias(v) for v in values))
 
 
 def shard_counts(df: DataFrame, shard: Column, key: str) -> DataFrame:

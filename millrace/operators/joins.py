@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import fresh
 from millrace.operators.windows import millis_of
 
 
@@ -27,18 +28,19 @@ def interval_join(a: DataFrame, b: DataFrame, key: str, a_ts: str, b_ts: str, lo
     lo, hi = _signed(lower), _signed(upper)
     if lo > hi:
         raise ValueError("lower is above upper")
-    right = b.withColumnRenamed(key, "__key")
+    theirs, cell, at = fresh([*a.columns, *b.columns], "key", "bucket", "at")
+    right = b.withColumnRenamed(key, theirs)
     low, high = (F.expr(f"INTERVAL {x} MILLISECOND") for x in (lo, hi))
     within = (F.col(a_ts) >= F.col(b_ts) + low) & (F.col(a_ts) <= F.col(b_ts) + high)
     if a.isStreaming or b.isStreaming:
-        return a.join(right, (F.col(key) == F.col("__key")) & within).drop("__key")
+        return a.join(right, (F.col(key) == F.col(theirs)) & within).drop(theirs)
     width = max(1000, hi - lo)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     bucket = lambda t: F.floor(t / F.lit(width * 1000)).cast("long")
     first, last = bucket(micros(a_ts) - hi * 1000), bucket(micros(a_ts) - lo * 1000)
-    left = a.where(F.col(a_ts).isNotNull()).withColumn("__bucket", F.explode(F.sequence(first, last)))
-    right = right.withColumn("__at", bucket(micros(b_ts)))
-    return left.join(right, (F.col(key) == F.col("__key")) & (F.col("__bucket") == F.col("__at")) & within).drop("__key", "__bucket", "__at")
+    left = a.where(F.col(a_ts).isNotNull()).withColumn(cell, F.explode(F.sequence(first, last)))
+    right = right.withColumn(at, bucket(micros(b_ts)))
+    return left.join(right, (F.col(key) == F.col(theirs)) & (F.col(cell) == F.col(at)) & within).drop(theirs, cell, at)
 
 
 def within_join(a: DataFrame, b: DataFrame, key: str, a_ts: str, b_ts: str, bound: str) -> DataFrame:

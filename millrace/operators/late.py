@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import fresh
 from millrace.operators.aggregates import running
 
 
@@ -19,6 +20,7 @@ def split_late(df: DataFrame, ts: str, partition: str, arrival: str, tie: str, d
     default, for the running maximum.
     """
     by_hour = bucket if bucket is not None else F.date_trunc("hour", F.col(arrival))
-    seen = running(df, [partition], [arrival, tie], by_hour, inclusive=False, __seen=("max", ts))
-    late = F.coalesce(F.col(ts) < F.col("__seen") - F.expr(f"INTERVAL {delay}"), F.lit(False))
-    return seen.withColumn("late", late).drop("__seen")
+    (most,) = fresh(df.columns, "seen")
+    seen = running(df, [partition], [arrival, tie], by_hour, inclusive=False, **{most: ("max", ts)})
+    late = F.coalesce(F.col(ts) < F.col(most) - F.expr(f"INTERVAL {delay}"), F.lit(False))
+    return seen.withColumn("late", late).drop(most)

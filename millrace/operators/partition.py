@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions import partition_of
+from millrace.functions import fresh, partition_of
+from millrace.operators.aggregates import running
+
+#: Offsets, or numbers of an order, in a bucket of the two-level sums.
+BUCKET = 1 << 16
 
 
 def route(df: DataFrame, key: str, n: int, counter: Column | None = None) -> DataFrame:
@@ -41,15 +46,35 @@ def range_assign(partitions: DataFrame, members: int, count: int) -> DataFrame:
     return partitions.withColumn("member", member.cast("int"))
 
 
-def with_offsets(df: DataFrame, order: list[str]) -> DataFrame:
-    """Add offset: 0, 1, ... within each partition."""
-    return df.withColumn("offset", F.row_number().over(Window.partitionBy("partition").orderBy(*order)).cast("long") - 1)
+def bucket_of(df: DataFrame, column: str) -> Column:
+    """An expression that doesn't fall as ``column`` rises: hours, days, so many numbers, a prefix."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_trunc("hour", F.col(column))
+    if isinstance(kind, T.IntegralType):
+        return F.floor(F.col(column) / F.lit(BUCKET))
+    if isinstance(kind, T.StringType):
+        return F.substring(column, 1, 3)
+    return F.col(column) if isinstance(kind, T.DateType) else F.lit(0)
+
+
+def with_offsets(df: DataFrame, order: list[str], bucket: Column | None = None) -> DataFrame:
+    """Add offset: 0, 1, ... within each partition.
+
+    A partition's rows are counted by bucket first, so that no task holds a partition whole. ``bucket``
+    must not fall as ``order`` rises; by default it is taken from the first column of ``order``.
+    """
+    one, number = fresh(df.columns, "one", "offset")
+    by = bucket_of(df, order[0]) if bucket is None else bucket
+    counted = running(df.withColumn(one, F.lit(1)), ["partition"], order, by, inclusive=False, **{number: ("count", one)})
+    return counted.withColumn("offset", F.col(number)).drop(one, number)
 
 
 def gaps(log: DataFrame) -> DataFrame:
     """Rows of (partition, offset) whose offset isn't the one before plus 1 (0 for the first): adds expected."""
-    before = F.lag("offset").over(Window.partitionBy("partition").orderBy("offset"))
-    return log.withColumn("expected", F.coalesce(before + 1, F.lit(0))).where("offset <> expected")
+    (last,) = fresh(log.columns, "last")
+    before = running(log, ["partition"], ["offset"], F.floor(F.col("offset") / F.lit(BUCKET)), inclusive=False, **{last: ("max", "offset")})
+    return before.withColumn("expected", F.coalesce(F.col(last) + 1, F.lit(0))).drop(last).where("offset <> expected")
 
 
 def next_offsets(log: DataFrame) -> DataFrame:
