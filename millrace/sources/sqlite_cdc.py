@@ -1,6 +1,7 @@
 """Change capture of a SQLite table: snapshots through a Python data source, compared with the last one.
 
-The last snapshot is kept as a versioned table with a pointer, so a restart goes on from it.
+The last snapshots are kept as tables, and a small file for each commit names its one, so a restart goes
+on from it. They go through the file system that Spark uses.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from millrace import files
 from millrace.operators import cdc
 
 #: Declared column types and their Spark types; others are strings.
@@ -27,7 +29,7 @@ def quoted(name: str) -> str:
 
 
 class _Range(InputPartition):
-    def __init__(self, lo: int, hi: int):
+    def __init__(self, lo: int | None, hi: int | None):
         self.lo, self.hi = lo, hi
 
 
@@ -36,6 +38,8 @@ class _Reader(DataSourceReader):
         self.path, self.table, self.parts, self.names = path, table, parts, names
 
     def partitions(self):
+        if self.parts == 1:
+            return [_Range(None, None)]
         with sqlite3.connect(self.path) as db:
             lo, hi = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
         if lo is None:
@@ -46,11 +50,19 @@ class _Reader(DataSourceReader):
     def read(self, part):
         with sqlite3.connect(self.path) as db:
             columns = ", ".join(map(quoted, self.names))
-            yield from db.execute(f"SELECT {columns} FROM {quoted(self.table)} WHERE rowid >= ? AND rowid < ?", (part.lo, part.hi))
+            if part.lo is None:
+                yield from db.execute(f"SELECT {columns} FROM {quoted(self.table)}")
+            else:
+                yield from db.execute(f"SELECT {columns} FROM {quoted(self.table)} WHERE rowid >= ? AND rowid < ?", (part.lo, part.hi))
 
 
 class SqliteSource(DataSource):
-    """``spark.read.format("sqlite_table").options(path=..., table=...)``, read by ranges of rowid."""
+    """``spark.read.format("sqlite_table").options(path=..., table=...)``.
+
+    One statement reads the table, so the rows are those of one moment; tables without rowid can be read
+    so too. With option ``parts`` that many tasks read ranges of rowid, each at its own moment: for tables
+    that nobody writes to meanwhile.
+    """
 
     @classmethod
     def name(cls):
@@ -64,7 +76,7 @@ class SqliteSource(DataSource):
         return ", ".join("`" + r[1].replace("`", "``") + "` " + _TYPES.get(r[2].upper(), "string") for r in rows)
 
     def reader(self, schema):
-        return _Reader(self.options["path"], self.options["table"], int(self.options.get("parts", "4")), schema.names)
+        return _Reader(self.options["path"], self.options["table"], int(self.options.get("parts", "1")), schema.names)
 
 
 @dataclass
@@ -88,20 +100,22 @@ class CdcSource:
     """``poll`` gives the changes since the last snapshot; ``commit`` makes the new one the last.
 
     Without a commit the same changes come again: at least once, and exactly once for a sink that is
-    idempotent by version.
+    idempotent by version. The snapshots of the last two commits stay, so the changes of a poll can be read
+    until the second commit after it. One source at a time uses a state folder.
     """
 
     def __init__(self, spark: SparkSession, config: CdcConfig):
         self.spark, self.config = spark, config
         spark.dataSource.register(SqliteSource)
-        self._pointer = os.path.join(config.state, "last.json")
+        self._state = config.state.rstrip("/")
         self._new: str | None = None
 
+    def _commits(self) -> list[int]:
+        return sorted(int(n[7:]) for n in files.names(self.spark, self._state) if n.startswith("commit-") and n[7:].isdigit())
+
     def _last(self) -> dict | None:
-        if not os.path.exists(self._pointer):
-            return None
-        with open(self._pointer) as f:
-            return json.load(f)
+        done = self._commits()
+        return json.loads(files.read_text(self.spark, f"{self._state}/commit-{done[-1]}")) if done else None
 
     @property
     def version(self) -> int:
@@ -112,10 +126,12 @@ class CdcSource:
         """Changes with op, key, before, after, in a row each; envelopes in ``value``. Ordered by key."""
         c, last = self.config, self._last()
         now = self.spark.read.format("sqlite_table").options(path=c.database, table=c.table).load()
-        self._new = os.path.join(c.state, f"snapshot-{uuid.uuid4().hex}")
-        now.write.parquet(self._new)
-        after = self.spark.read.schema(now.schema).parquet(self._new)
-        before = self.spark.read.parquet(last["path"]) if last else None
+        name = f"snapshot-{uuid.uuid4().hex}"
+        # bytes become strings, as envelopes carry them
+        cdc.normalized(now).write.parquet(f"{self._state}/{name}")
+        self._new = name
+        after = self.spark.read.parquet(f"{self._state}/{name}")
+        before = self.spark.read.parquet(f"{self._state}/{last['snapshot']}") if last else None
         changes = cdc.diff(before, after, c.pk)
         row = F.struct("op", "before", "after", F.struct(F.lit(os.path.basename(c.database)).alias("db"), F.lit(c.table).alias("table"), F.lit(int(time.time() * 1000) if ts_ms is None else ts_ms).cast("long").alias("ts_ms")).alias("source"))
         return changes.withColumn("value", F.to_json(row, {"ignoreNullFields": "false"})).orderBy("key")
@@ -124,13 +140,25 @@ class CdcSource:
         if self._new is None:
             raise RuntimeError("nothing was polled")
         version = self.version + 1
-        part = f"{self._pointer}.{uuid.uuid4().hex}"
-        with open(part, "w") as f:
-            json.dump({"version": version, "path": self._new}, f)
-        os.replace(part, self._pointer)
+        part = f"{self._state}/_commit-{uuid.uuid4().hex}"
+        files.write_text(self.spark, part, json.dumps({"version": version, "snapshot": self._new}))
+        if not files.move(self.spark, part, f"{self._state}/commit-{version}"):
+            files.delete(self.spark, part)
+            raise RuntimeError("another source has committed meanwhile")
         self._new = None
+        self._forget()
         return version
 
+    def _forget(self, keep: int = 2) -> None:
+        """Delete commits but the last ``keep``, and the snapshots that none of those names."""
+        done = self._commits()
+        kept = {json.loads(files.read_text(self.spark, f"{self._state}/commit-{n}"))["snapshot"] for n in done[-keep:]}
+        for n in done[:-keep]:
+            files.delete(self.spark, f"{self._state}/commit-{n}")
+        for name in files.names(self.spark, self._state):
+            if name.startswith("snapshot-") and name not in kept:
+                files.delete(self.spark, f"{self._state}/{name}")
+
     def run(self, sink, polls: int | None = None) -> None:
         """Poll again and again: ``sink(changes, version)``, commit, wait. ``polls`` ends it after so many."""
         done = 0
