@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import event_ms, event_time, payload, tsv, words
@@ -31,6 +31,20 @@ def event_time_word_count(lines: DataFrame, size: str = "5 seconds", out_of_orde
     return windows.tumbling(df, ["word"], "event_time", size)
 
 
+def late_demo(spark: SparkSession, base_ms: int, windows_: int = 3, per_window: int = 4, size_ms: int = 5000, seed: int = 1) -> DataFrame:
+    """(arrival, value) lines of event-time demo data: ``per_window`` in each of the windows from ``base_ms``
+    on and one of the first window that is late but allowed, all arriving in the order of a hash by ``seed``,
+    and last of all one from the first window that is too late by any delay under the windows' length."""
+    n = windows_ * per_window
+    i = F.col("id")
+    at = F.when(i < n, F.floor(i / per_window) * size_ms + (i % per_window * 2 + 1) * size_ms / (2 * per_window)).when(i == n, size_ms * 3 / 5).otherwise(size_ms / 50)
+    text = F.when(i < n, F.concat_ws(" ", F.lit("window"), F.floor(i / per_window), F.lit("row"), i % per_window)).when(i == n, "late row").otherwise("dropped row")
+    line = F.concat((F.lit(base_ms) + at).cast("long").cast("string"), F.lit("\t"), text)
+    rows = spark.range(n + 2).select((i == n + 1).alias("last"), F.xxhash64(i, F.lit(seed)).alias("h"), line.alias("value"))
+    # so few rows that one task may number them
+    return rows.select((F.row_number().over(Window.orderBy("last", "h")) - 1).alias("arrival"), "value")
+
+
 def doubled(lines: DataFrame, partitions: int | None = None) -> DataFrame:
     """(n, doubled) for values that are whole numbers of 64 bits, without white space; others are left out.
 
@@ -48,4 +62,4 @@ def changes_joined_to_view(before: DataFrame, after: DataFrame, pk: str, events:
     return joins.interval_join(events.withColumn(key, F.col(key).cast("string")), changes, key, ts, "changed_at", lower, upper)
 
 
-__all__ = ["changes_joined_to_view", "doubled", "event_ms", "event_time_word_count", "event_time_words", "word_count", "word_count_lines"]
+__all__ = ["changes_joined_to_view", "doubled", "event_ms", "event_time_word_count", "event_time_words", "late_demo", "word_count", "word_count_lines"]

@@ -8,12 +8,14 @@ batches; each batch keeps the next ones in a file, so that the log isn't read fo
 from __future__ import annotations
 
 import json
+import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import files
-from millrace.operators.partition import route
+from millrace.operators.partition import gaps, range_assign, route, with_offsets
 from millrace.sources import RECORD, stream_files
 
 SCHEMA = "partition int, offset long, key string, value string, timestamp timestamp, batch long"
@@ -42,15 +44,13 @@ class Topic:
 
     def produce(self, rows: DataFrame, batch: int, order: list[str], timestamp: Column | None = None) -> None:
         """Append rows (key, value) as batch number ``batch``, routed by key, in ``order`` within a partition."""
-        from pyspark.sql import Window
-
         if batch in self._batches():
             return
         earlier = self._next_offsets(batch)
-        number = F.row_number().over(Window.partitionBy("partition").orderBy(*order)).cast("long") - 1
-        routed = route(rows, "key", self.partitions, F.xxhash64(*order)).withColumn("offset", number)
+        routed = route(rows, "key", self.partitions, F.xxhash64(*order))
+        numbered = with_offsets(routed, order)
         base = F.element_at(F.array(*(F.lit(n).cast("long") for n in earlier)), F.col("partition") + 1)
-        out = routed.select("partition", (F.col("offset") + base).alias("offset"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), (timestamp if timestamp is not None else F.current_timestamp()).alias("timestamp"))
+        out = numbered.select("partition", (F.col("offset") + base).alias("offset"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), (timestamp if timestamp is not None else F.current_timestamp()).alias("timestamp"))
         added = {r["partition"]: r["count"] for r in routed.groupBy("partition").count().collect()}
         after = [n + added.get(p, 0) for p, n in enumerate(earlier)]
         files.commit(out, self.path, f"batch={batch}", "partition", extra={"_next.json": json.dumps(after)})
@@ -62,3 +62,111 @@ class Topic:
         """The next offset of each partition before ``batch``."""
         earlier = [b for b in self._batches() if b < batch]
         return json.loads(files.read_text(self.spark, f"{self.path}/batch={earlier[-1]}/_next.json")) if earlier else [0] * self.partitions
+
+    def next_offsets(self) -> list[int]:
+        """The next offset of each partition."""
+        return self._next_offsets(2**63)
+
+
+class Catalog:
+    """Topics below a folder; a topic's number of partitions is kept beside its batches."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def create(self, name: str, partitions: int) -> Topic:
+        """Make a topic, or give the one that is there, which must have as many partitions."""
+        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", name):
+            raise ValueError(f"{name!r} can't be the name of a topic")
+        topic, kept = Topic(self.spark, f"{self.folder}/{name}", partitions), f"{self.folder}/{name}/_topic.json"
+        part = f"{kept}.{uuid.uuid4().hex}"
+        files.write_text(self.spark, part, json.dumps({"partitions": partitions}))
+        if not files.move(self.spark, part, kept):
+            files.delete(self.spark, part)
+            if self.get(name).partitions != partitions:
+                raise ValueError(f"topic {name} has {self.get(name).partitions} partitions")
+        return topic
+
+    def get(self, name: str) -> Topic:
+        kept = f"{self.folder}/{name}/_topic.json"
+        if not files.exists(self.spark, kept):
+            raise KeyError(f"no topic {name}")
+        return Topic(self.spark, f"{self.folder}/{name}", json.loads(files.read_text(self.spark, kept))["partitions"])
+
+    def names(self) -> list[str]:
+        return [n for n in files.names(self.spark, self.folder) if files.exists(self.spark, f"{self.folder}/{n}/_topic.json")]
+
+    def describe(self) -> DataFrame:
+        """(topic, partition, next_offset) of all topics."""
+        rows = [(n, p, at) for n in self.names() for p, at in enumerate(self.get(n).next_offsets())]
+        return self.spark.createDataFrame(rows, "topic string, partition int, next_offset long")
+
+
+class Consumer:
+    """A member of a group that reads a topic: it has a contiguous block of the partitions.
+
+    Positions are kept by group and partition beside the topic. ``poll`` gives the next records,
+    ``commit`` moves on; records polled and not committed come again.
+    """
+
+    def __init__(self, topic: Topic, group: str, member: int = 0, members: int = 1):
+        if not 0 <= member < members:
+            raise ValueError("members are numbered from 0")
+        if not group or "/" in group:
+            raise ValueError("a group needs a name without slashes")
+        self.topic, self.spark, self.folder = topic, topic.spark, f"{topic.path}/_groups/{group}"
+        every = self.spark.range(topic.partitions).select(F.col("id").cast("int").alias("partition"))
+        mine = range_assign(every, members, topic.partitions).where(F.col("member") == member).collect()
+        self.partitions = sorted(r["partition"] for r in mine)
+        self._polled: dict[int, int] | None = None
+
+    def positions(self) -> dict[int, int]:
+        """The next offset to read of each partition of this member."""
+        out = dict.fromkeys(self.partitions, 0)
+        for name in files.names(self.spark, self.folder):
+            p, _, at = name.partition("-")
+            if p.isdigit() and at.isdigit() and int(p) in out:
+                out[int(p)] = max(out[int(p)], int(at))
+        return out
+
+    def poll(self, most: int = 100) -> DataFrame:
+        """At most ``most`` next records of each partition, by partition and offset."""
+        now, end = self.positions(), self.topic.next_offsets()
+        self._polled = {p: min(at + most, end[p]) for p, at in now.items()}
+        wanted = F.lit(False)
+        for p, at in now.items():
+            wanted = wanted | ((F.col("partition") == p) & (F.col("offset") >= at) & (F.col("offset") < self._polled[p]))
+        return self.topic.read().where(wanted).orderBy("partition", "offset")
+
+    def commit(self) -> None:
+        """Make the ends of the last poll the positions, each in one step."""
+        if self._polled is None:
+            raise RuntimeError("nothing was polled")
+        before = self.positions()
+        for p, at in self._polled.items():
+            if at > before[p]:
+                files.write_text(self.spark, f"{self.folder}/{p}-{at}", "")
+                files.delete(self.spark, f"{self.folder}/{p}-{before[p]}")
+        self._polled = None
+
+    def drain(self, sink, most: int = 100) -> int:
+        """Poll, check, ``sink(records)`` and commit until nothing is left; the number of records.
+
+        Raises if the offsets of a partition don't go on from its position one by one.
+        """
+        total = 0
+        while True:
+            records, start = self.poll(most).persist(), self.positions()
+            try:
+                n, want = records.count(), sum(self._polled[p] - start[p] for p in start)
+                base = F.element_at(F.array(*(F.lit(start.get(p, 0)).cast("long") for p in range(self.topic.partitions))), F.col("partition") + 1)
+                if n != want or gaps(records.withColumn("offset", F.col("offset") - base)).limit(1).count():
+                    raise RuntimeError("the offsets of a partition have a gap or come twice")
+                if n:
+                    sink(records)
+            finally:
+                records.unpersist()
+            self.commit()
+            if not want:
+                return total
+            total += n
