@@ -12,7 +12,8 @@ from millrace import functions as fn
 from millrace.operators import aggregates, cdc, joins, late, partition, windows
 from millrace.plans import jobs, sqlfront
 from millrace.session import shared_folder
-from millrace.sources import table
+from millrace.sources import stream_files, table
+from millrace.streaming import sinks
 from millrace.views import View
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -295,7 +296,12 @@ def latest_per_key(spark, sf):
 @query("""WITH t AS (SELECT regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') AS t FROM documents), n AS (SELECT len(list_filter(string_split(t, ' '), lambda w: w <> '')) AS n FROM t)
 SELECT CAST(count(*) AS BIGINT) AS records_in, CAST(sum(n) AS BIGINT) AS records_out FROM n""")
 def operator_counters(spark, sf):
-    return table(spark, sf, "documents").agg(F.count("*").alias("records_in"), F.sum(F.size(fn.words("text"))).cast("long").alias("records_out"))
+    path = f"{sf}/documents.parquet"
+    # a pattern, since a stream's path itself must be a folder
+    lines = sinks.counted(stream_files(spark, f"{path}*", spark.read.parquet(path).select("text").schema), "records_in")
+    out = sinks.counted(lines.select(F.explode(fn.words("text")).alias("word")), "records_out")
+    got = sinks.statistics(sinks.drain(sinks.discard(out, f"{shared_folder(spark)}/counters-{uuid.uuid4().hex}")))
+    return spark.createDataFrame([(got["records_in"], got["records_out"])], "records_in long, records_out long")
 
 
 def _view(spark, kind: str) -> View:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,29 +79,36 @@ def discard(df: DataFrame, checkpoint: str) -> DataStreamWriter:
     return df.writeStream.format("noop").option("checkpointLocation", checkpoint)
 
 
+def counted(df: DataFrame, name: str) -> DataFrame:
+    """Count the rows that pass here; ``statistics`` has the number under this name."""
+    return df.observe(name, F.count(F.lit(1)).alias("rows"))
+
+
 def statistics(query: StreamingQuery) -> dict[str, int]:
-    """Rows in, rows dropped as late, and state rows of a query so far."""
+    """Rows in, rows dropped as late, state rows and the numbers of ``counted`` of a query, over the batches
+    whose progress the session keeps (``spark.sql.streaming.numRecentProgressUpdates``)."""
     out = {"rows_in": 0, "late_rows": 0, "state_rows": 0}
     for p in query.recentProgress:
         out["rows_in"] += p["numInputRows"]
         for s in p["stateOperators"]:
             out["late_rows"] += s["numRowsDroppedByWatermark"]
             out["state_rows"] = s["numRowsTotal"]
+        for name, row in p["observedMetrics"].items():
+            out[name] = out.get(name, 0) + row["rows"]
     return out
 
 
 def batches(checkpoint: str) -> list[dict]:
-    """Prepared (offsets written) and committed batches of a checkpoint on a local path."""
+    """Prepared (offsets written) and committed batches of a checkpoint."""
+    spark = SparkSession.active()
 
     def ids(name: str) -> set[int]:
-        folder = os.path.join(checkpoint, name)
-        return {int(x) for x in os.listdir(folder) if x.isdigit()} if os.path.isdir(folder) else set()
+        return {int(x) for x in files.names(spark, f"{checkpoint}/{name}") if x.isdigit()}
 
     prepared, committed = ids("offsets"), ids("commits")
     out = []
     for i in sorted(prepared):
-        with open(os.path.join(checkpoint, "offsets", str(i))) as f:
-            lines = f.read().splitlines()
+        lines = files.read_text(spark, f"{checkpoint}/offsets/{i}").splitlines()
         out.append({"id": i, "status": "C" if i in committed else "P", "offsets": [json.loads(x) for x in lines[2:] if x.startswith("{")]})
     return out
 
@@ -123,17 +130,14 @@ def route_late(ts: str, delay_ms: int, on_time: Callable[[DataFrame, int], None]
     The watermark after each batch is kept in the folder ``position``, under the batch's number, so a
     batch that runs again sees the same one.
     """
-    os.makedirs(position, exist_ok=True)
 
-    def seen_before(batch_id: int) -> int | None:
-        done = [int(x) for x in os.listdir(position) if x.isdigit() and int(x) < batch_id]
-        if not done:
-            return None
-        with open(os.path.join(position, str(max(done)))) as f:
-            return json.load(f)
+    def seen_before(spark: SparkSession, batch_id: int) -> int | None:
+        done = [int(x) for x in files.names(spark, position) if x.isdigit() and int(x) < batch_id]
+        return json.loads(files.read_text(spark, f"{position}/{max(done)}")) if done else None
 
     def split(df: DataFrame, batch_id: int) -> None:
-        most = seen_before(batch_id)
+        spark = df.sparkSession
+        most = seen_before(spark, batch_id)
         ms = F.unix_millis(F.col(ts))
         is_late = F.lit(False) if most is None else F.coalesce(ms < most - delay_ms, F.lit(False))
         df = df.persist()
@@ -144,9 +148,9 @@ def route_late(ts: str, delay_ms: int, on_time: Callable[[DataFrame, int], None]
         finally:
             df.unpersist()
         now = max((x for x in (most, here) if x is not None), default=None)
-        part = os.path.join(position, f".{batch_id}")
-        with open(part, "w") as f:
-            json.dump(now, f)
-        os.replace(part, os.path.join(position, str(batch_id)))
+        part = f"{position}/_{uuid.uuid4().hex}"
+        files.write_text(spark, part, json.dumps(now))
+        if not files.move(spark, part, f"{position}/{batch_id}"):  # there from an earlier try: the same
+            files.delete(spark, part)
 
     return split

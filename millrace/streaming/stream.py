@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import aggregates, joins, windows
 from millrace.operators.late import split_late
+from millrace.operators.partition import bucket_of
 from millrace.streaming import sinks, stateful
 
 
@@ -107,7 +108,7 @@ class Stream:
         key, order = self._keyed(), list(self.order)
         if self.df.isStreaming:
             return self._with(stateful.running_count(self.df, key, order), self._name("running_count", name))
-        bucket = F.date_trunc("hour", F.col(self.ts)) if self.ts and order[:1] == [self.ts] else F.lit(0)
+        bucket = bucket_of(self.df, order[0]) if order else F.lit(0)
         return self._with(aggregates.running_count(self.df, key, order, bucket), self._name("running_count", name))
 
     def reduce(self, init: Callable, step: Callable, kind: str = "bigint", name: str | None = None) -> Stream:

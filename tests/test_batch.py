@@ -16,7 +16,7 @@ from millrace.operators import aggregates, cdc, joins, late, partition, windows
 from millrace.plans import jobs, sqlfront
 from millrace.sources import unzoned, zoned
 from millrace.sources.sqlite_cdc import CdcConfig, CdcSource
-from millrace.sources.topics import Topic
+from millrace.sources.topics import Catalog, Consumer, Topic
 from millrace.streaming.stream import Stream
 from millrace.views import Registry
 
@@ -241,6 +241,75 @@ def test_topic(spark, tmp_path):
     assert partition.gaps(log.where("offset <> 7")).count() == 4
 
 
+def test_offsets_and_gaps_over_buckets(spark, monkeypatch):
+    """Numbers and gaps are the same whatever the buckets are; the input's columns may have any name."""
+    monkeypatch.setattr(partition, "BUCKET", 7)
+    rnd = random.Random(8)
+    data = [(rnd.choice([0, 1, 1, 1, None]), i, f"{rnd.randint(0, 999):03d}-{i}", at(rnd.randint(0, 90000)), 5, 5) for i in range(200)]
+    df = spark.createDataFrame(data, "partition int, i long, s string, t timestamp, __one int, __b int").repartition(4)
+    for order in (["i"], ["s"], ["t", "i"]):
+        place = [["partition", "i", "s", "t"].index(c) for c in order]
+        ranked, want = {}, []
+        for row in sorted(data, key=lambda r: [r[p] for p in place]):
+            want.append((row[1], ranked.get(row[0], 0)))
+            ranked[row[0]] = ranked.get(row[0], 0) + 1
+        out = partition.with_offsets(df, order)
+        assert out.columns == [*df.columns, "offset"] and rows(out.select("i", "offset")) == sorted(want, key=str)
+        assert rows(partition.with_offsets(out, order).select("i", "offset")) == sorted(want, key=str)
+    log = spark.createDataFrame([(p, o) for p in range(3) for o in range(60) if o not in (0, 7, 14, 15, 16, 50)] + [(2, 3)], "partition int, offset long")
+    assert rows(partition.gaps(log)) == sorted([(p, o, e) for p in range(3) for o, e in ((1, 0), (8, 7), (17, 14), (51, 50))] + [(2, 3, 4)], key=str)
+    assert partition.gaps(log.where("offset < 0")).count() == 0
+
+
+def test_reserved_names(spark):
+    """Columns named like the operators' own ones come through."""
+    names = ["__b", "__bb", "__k0", "__n", "__one", "__key", "__bucket", "__at", "__seen", "__salt", "__v"]
+    df = spark.createDataFrame([("a", i, at(i), *range(len(names))) for i in range(4)], "k string, i long, ts timestamp, " + ", ".join(f"{n} int" for n in names))
+    assert sorted(r["count"] for r in aggregates.running_count(df, "k", ["i"], F.lit(0)).collect()) == [1, 2, 3, 4]
+    right = spark.createDataFrame([("a", at(1))], "k string, bts timestamp")
+    assert joins.interval_join(df, right, "k", "ts", "bts", "0 seconds", "1 second").columns == [*df.columns, "bts"]
+    assert late.split_late(df, "ts", "k", "ts", "i", "1 second").columns == [*df.columns, "late"]
+    folded = aggregates.reduce(df, "i", ["ts"], lambda r: 1, lambda acc, r: acc + 1, "i long, value long", combine=lambda x, y: x + y)
+    assert rows(folded) == [(i, 1) for i in range(4)]
+    assert rows(aggregates.latest(df, ["k"], "i", "i", "__v")) == [("a", 3, 10)]
+
+
+def test_catalog_and_consumers(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path))
+    topic = catalog.create("events", 3)
+    assert catalog.create("events", 3).path == topic.path and catalog.names() == ["events"]
+    for bad in (("events", 4), ("a/b", 1), ("_x", 1), ("y", 0)):
+        with pytest.raises(ValueError):
+            catalog.create(*bad)
+    with pytest.raises(KeyError):
+        catalog.get("no")
+    data = [(f"k{i}", f"v{i}", i) for i in range(50)]
+    topic.produce(spark.createDataFrame(data, "key string, value string, i int"), 0, ["i"])
+    assert sum(r["next_offset"] for r in catalog.describe().collect()) == 50 and catalog.describe().count() == 3
+    first, second = (Consumer(catalog.get("events"), "g", m, 2) for m in (0, 1))
+    assert first.partitions == [0, 1] and second.partitions == [2]
+    again = [r["value"] for r in first.poll(4).collect()]
+    assert [r["value"] for r in first.poll(4).collect()] == again  # not committed
+    first.commit()
+    got = list(again)
+    n = Consumer(topic, "g", 0, 2).drain(lambda r: got.extend(x["value"] for x in r.collect()), 7)
+    n += second.drain(lambda r: got.extend(x["value"] for x in r.collect()))
+    assert n + len(again) == 50 and sorted(got) == sorted(v for _, v, _ in data)
+    assert first.drain(lambda r: 1 / 0) == 0 and Consumer(topic, "other").poll().count() == 50
+    topic.produce(spark.createDataFrame([("k1", "late", 0)], "key string, value string, i int"), 1, ["i"])
+    assert first.drain(lambda r: None) + second.drain(lambda r: None) == 1
+    with pytest.raises(ValueError):
+        Consumer(topic, "g", 2, 2)
+
+
+def test_late_demo(spark):
+    demo = jobs.late_demo(spark, 50_000, seed=3)
+    lines = [r["value"] for r in demo.orderBy("arrival").collect()]
+    ms = [int(x.split("\t")[0]) for x in lines]
+    assert len(lines) == 14 and lines[-1] == "50100\tdropped row" and ms != sorted(ms)
+    assert sorted(sum(50_000 + w * 5000 <= t < 55_000 + w * 5000 for t in ms) for w in range(3)) == [4, 4, 6]
+
+
 def test_doubled(spark):
     df = spark.createDataFrame([(str(i),) for i in range(1, 11)] + [("x",), (None,), (" 5 ",), ("7\n",), ("+3",), ("9" * 19,), (str(2**62),), (str(-(2**63)),)], "value string")
     assert sorted(r["doubled"] for r in jobs.doubled(df).collect()) == sorted([2 * i for i in range(1, 11)] + [6, -(2**63), 0])
@@ -319,6 +388,27 @@ def test_cdc_lifecycle(spark, tmp_path):
         CdcConfig(path, "", "id", "x")
 
 
+def test_cdc_blobs_and_kept_snapshots(spark, tmp_path):
+    """Bytes come as strings, tables without rowid can be read, and old snapshots go."""
+    import os
+
+    path = f"{tmp_path}/shop.db"
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (id TEXT PRIMARY KEY, data BLOB) WITHOUT ROWID")
+        db.execute("INSERT INTO t VALUES ('x', CAST('bytes' AS BLOB))")
+    source = CdcSource(spark, CdcConfig(path, "t", "id", f"{tmp_path}/state"))
+    (row,) = source.poll(ts_ms=1).collect()
+    assert json.loads(row["value"])["after"] == {"id": "x", "data": "bytes"}
+    for _ in range(4):
+        source.commit()
+        assert source.poll().count() == 0
+    source.commit()
+    kept = sorted(n for n in os.listdir(f"{tmp_path}/state") if not n.startswith("."))
+    assert [n for n in kept if n.startswith("commit")] == ["commit-4", "commit-5"] and len(kept) == 4
+    with pytest.raises(RuntimeError):
+        source.commit()
+
+
 def test_diff_nulls_and_new_columns(spark):
     before = spark.createDataFrame([(1, None), (2, "x"), (3, "y")], "id int, a string")
     after = spark.createDataFrame([(1, None, None), (2, None, None), (4, "z", 1)], "id int, a string, b int")

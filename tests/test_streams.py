@@ -10,7 +10,7 @@ from millrace.operators import windows
 from millrace.plans import jobs
 from millrace.sources import stream_files
 from millrace.sources.topics import Topic
-from millrace.streaming import sinks
+from millrace.streaming import sinks, stateful
 from millrace.streaming.stream import Stream
 
 T0 = datetime(2024, 1, 1)
@@ -105,6 +105,38 @@ def test_running_count_and_fold(spark, tmp_path):
     assert collected(spark, f"{tmp_path}/out2") == sorted(seen, key=str)
 
 
+def test_processor_with_state(spark, tmp_path):
+    """Values by name are got, put, deleted and listed; they outlive a batch."""
+    data, parts = sample()
+
+    def step(state, row):
+        name = "even" if row.id % 2 == 0 else "odd"
+        state.put(name, state.get(name, 0) + row.id)
+        if row.id % 10 == 0:
+            state.delete("odd")
+        return [(row.k, row.id, sum(v for _, v in state.items()))]
+
+    out = stateful.process(files(spark, str(tmp_path), parts[:3]), "k", ["id"], step, "k string, id bigint, total bigint")
+    sinks.drain(sinks.exactly_once(out, f"{tmp_path}/out", f"{tmp_path}/cp", ["id"], mode="update"))
+    kept, want = {}, []
+    for k, i, _ in data:
+        mine = kept.setdefault(k, {})
+        mine[i % 2] = mine.get(i % 2, 0) + i
+        if i % 10 == 0:
+            mine.pop(1, None)
+        want.append((k, i, sum(mine.values())))
+    assert collected(spark, f"{tmp_path}/out") == sorted(want, key=str)
+    assert sinks.state_rows(spark, f"{tmp_path}/cp", "kv").count() == sum(map(len, kept.values()))
+
+
+def test_late_demo_drops_the_last_line(spark, tmp_path):
+    lines = jobs.late_demo(spark, 50_000).orderBy("arrival").select("value").collect()
+    stream = files(spark, str(tmp_path), [[tuple(r)] for r in lines] + [[("999999\tend",)]], "value string")
+    query = sinks.drain(sinks.discard(jobs.event_time_word_count(sinks.counted(stream, "lines"), out_of_order="10 seconds"), f"{tmp_path}/cp"))
+    got = sinks.statistics(query)
+    assert got["lines"] == 15 and got["rows_in"] == 15
+
+
 def test_exactly_once_after_failure(spark, tmp_path):
     data, parts = sample()
     stream, out, cp = files(spark, str(tmp_path), parts[:3]), f"{tmp_path}/out", f"{tmp_path}/cp"
