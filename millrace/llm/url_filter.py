@@ -6,14 +6,17 @@ through, and so on until a level makes no mistake. For every key of the universe
 lacks it tells whether it is listed. Because the universe is the corpus's own set of keys, the answer
 is exact for every row, and rows are judged where they are, without a join.
 
-Keys are dealt to shards by hash, so that each cascade is built in one task of bounded size; a task
-that judges rows loads the shards it meets and keeps no more of them than ``CACHE_BYTES``.
+Keys are dealt to shards by hash, so that each cascade is built in one task of bounded size. The shards
+lie in a few files of about ``FILE_BYTES``, in order. While all of them fit ``CACHE_BYTES``, rows are judged
+where they are and a task reads each file once; beyond that rows are dealt by ranges of shards, so that a
+task reads the files of its range only. A task keeps no more of them than ``CACHE_BYTES``, or one file.
 """
 
 from __future__ import annotations
 
 import math
 import struct
+from bisect import bisect_right
 from collections import OrderedDict
 
 import numpy as np
@@ -22,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import filesystem, fresh, new_folder
+from millrace.llm.common import column, drop_folders, filesystem, fresh, new_folder, shuffle_partitions
 
-SHARD_KEYS, MIN_SHARDS, CACHE_BYTES, MAX_LEVELS = 100_000, 64, 64 << 20, 200
+SHARD_KEYS, MIN_SHARDS, CACHE_BYTES, FILE_BYTES, MAX_LEVELS = 100_000, 64, 64 << 20, 16 << 20, 200
 _SHARD_SALT, _KEY_SALT = "millrace shard", "millrace second"
 
 
@@ -99,31 +102,35 @@ class Cascade:
 
 
 class CascadeTable:
-    """A built cascade: ``files`` names for each shard with listed keys the Parquet file that holds it."""
+    """A built cascade of ``size`` bytes: ``files`` has the Parquet files, a row for each shard with listed
+    keys, by the first and last shard in them; a task keeps ``cache`` bytes of them, or one file."""
 
-    def __init__(self, shards: int, files: dict[int, str]):
-        self.shards, self.files = shards, files
-        self._kept: OrderedDict[int, Cascade] = OrderedDict()
+    def __init__(self, shards: int, files: list[tuple[int, int, str]], size: int, cache: int):
+        self.shards, self.files, self.size, self.cache, self.reads = shards, sorted(files), size, cache, 0
+        self._kept: OrderedDict[int, tuple[dict[int, Cascade], int]] = OrderedDict()
         self._bytes = 0
 
-    def __getstate__(self):
-        return {"shards": self.shards, "files": self.files, "_kept": OrderedDict(), "_bytes": 0}
-
-    def _shard(self, shard: int) -> Cascade:
-        """The shard's cascade, read when first met; at most ``CACHE_BYTES`` of them stay."""
-        if shard in self._kept:
-            self._kept.move_to_end(shard)
-            return self._kept[shard]
-        import pyarrow.parquet as pq
-
-        fs, path = filesystem(self.files[shard])
-        data = pq.read_table(path, filesystem=fs, columns=["packed"], filters=[("shard", "=", shard)]).column("packed")[0].as_py()
-        self._kept[shard] = Cascade.unpack(data)
-        self._bytes += len(data)
-        while self._bytes > CACHE_BYTES and len(self._kept) > 1:
-            _, old = self._kept.popitem(last=False)
-            self._bytes -= sum(len(x.bits) + 10 for x in old.levels)
-        return self._kept[shard]
+    def __reduce__(self):
+        return CascadeTable, (self.shards, self.files, self.size, self.cache)
+
+    def _shard(self, shard: int) -> Cascade | None:
+        """The shard's cascade, with its file read when first met; None if nothing in it is listed."""
+        at = bisect_right(self.files, shard, key=lambda f: f[0]) - 1
+        if at < 0 or shard > self.files[at][1]:
+            return None
+        if at not in self._kept:
+            import pyarrow.parquet as pq
+
+            fs, path = filesystem(self.files[at][2])
+            rows = pq.read_table(path, filesystem=fs, columns=["shard", "packed"], partitioning=None).to_pydict()
+            size = sum(map(len, rows["packed"]))
+            while self._kept and self._bytes + size > self.cache:
+                self._bytes -= self._kept.popitem(last=False)[1][1]
+            self._kept[at] = ({s: Cascade.unpack(p) for s, p in zip(rows["shard"], rows["packed"], strict=True)}, size)
+            self._bytes += size
+            self.reads += 1
+        self._kept.move_to_end(at)
+        return self._kept[at][0].get(shard)
 
     def has(self, shard: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         out = np.zeros(len(shard), bool)
@@ -131,8 +138,8 @@ class CascadeTable:
         edges = [0, *(np.flatnonzero(np.diff(shard[order])) + 1).tolist(), len(order)]
         for lo, hi in zip(edges, edges[1:], strict=False):
             rows = order[lo:hi]
-            if len(rows) and int(shard[rows[0]]) in self.files:
-                out[rows] = self._shard(int(shard[rows[0]])).has(h1[rows], h2[rows])
+            if len(rows) and (cascade := self._shard(int(shard[rows[0]]))) is not None:
+                out[rows] = cascade.has(h1[rows], h2[rows])
         return out
 
 
@@ -141,12 +148,13 @@ def _dealt(key: Column, shards: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(_SHARD_SALT)), F.lit(shards)).cast("int").alias("shard"), F.xxhash64(key).alias("h1"), salted.alias("h2")]
 
 
-def build_cascade(universe: DataFrame) -> CascadeTable:
+def build_cascade(universe: DataFrame, cache_bytes: int = CACHE_BYTES, file_bytes: int = FILE_BYTES) -> CascadeTable:
     """Build the shards of a cascade from distinct rows (key string, listed boolean).
 
     The number of shards follows the number of keys; a shard has about ``SHARD_KEYS`` of them, dealt by
     a hash of the key, whatever host is common. Null keys are never listed, nor are keys whose
-    ``listed`` is null. Without listed keys nothing is listed.
+    ``listed`` is null. Without listed keys nothing is listed. Only the names of the files, each with its
+    range of shards, come to the driver.
     """
     spark = universe.sparkSession
     keys = universe.where(F.col("key").isNotNull()).select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
@@ -158,17 +166,23 @@ def build_cascade(universe: DataFrame) -> CascadeTable:
         packed = Cascade.build((a[on], b[on]), (a[~on], b[~on])).pack()
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "packed": pa.array([packed], pa.binary())})
 
-    path = new_folder(spark, "cascade")
-    built = keys.select(*_dealt(F.col("key"), shards), "listed").groupBy("shard").applyInArrow(run, "shard int, packed binary")
-    built.where(F.octet_length("packed") > 0).write.parquet(path)
-    at = spark.read.schema("shard int, packed binary").parquet(path).select("shard", F.input_file_name().alias("file")).collect()
-    return CascadeTable(shards, {r["shard"]: r["file"] for r in at})
+    schema, first, path = "shard int, packed binary", new_folder(spark, "cascade-shards"), new_folder(spark, "cascade")
+    built = keys.select(*_dealt(F.col("key"), shards), "listed").groupBy("shard").applyInArrow(run, schema)
+    built.where(F.octet_length("packed") > 0).write.parquet(first)
+    packed = spark.read.schema(schema).parquet(first)
+    size = packed.agg(F.sum(F.octet_length("packed").cast("long"))).first()[0] or 0
+    packed.repartitionByRange(max(1, -(-size // file_bytes)), "shard").sortWithinPartitions("shard").write.parquet(path)
+    names = spark.read.schema(schema).parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.min("shard").alias("lo"), F.max("shard").alias("hi")).collect()
+    drop_folders(spark, [first])
+    return CascadeTable(shards, [(r["lo"], r["hi"], r["file"]) for r in names], size, cache_bytes)
 
 
 def mark_listed(rows: DataFrame, key: str, cascade: CascadeTable, name: str = "listed") -> DataFrame:
     """Add a boolean column: whether the row's key, which must be of the cascade's universe, is listed.
 
-    Map-only. Null keys are not listed. The column replaces one of the same name.
+    Map-only while the cascade fits a task's cache; else rows are dealt by ranges of (shard, hash of the
+    row), so that the rows of a common key spread over tasks. Null keys are not listed. The column replaces
+    one of the same name.
     """
     kept = rows.drop(name)
 
@@ -183,7 +197,11 @@ def mark_listed(rows: DataFrame, key: str, cascade: CascadeTable, name: str = "l
     k = F.col(key).cast("string")
     schema = T.StructType([*kept.schema.fields, T.StructField(name, T.BooleanType())])
     has, *own = fresh(kept, "has", "0", "1", "2")
-    return kept.select("*", k.isNotNull().alias(has), *(c.alias(n) for n, c in zip(own, _dealt(k, cascade.shards), strict=True))).mapInArrow(run, schema)
+    hashed = kept.select("*", k.isNotNull().alias(has), *(c.alias(n) for n, c in zip(own, _dealt(k, cascade.shards), strict=True)))
+    if cascade.size > cascade.cache:
+        plain = [column(f.name) for f in kept.schema if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+        hashed = hashed.repartitionByRange(shuffle_partitions(rows.sparkSession), own[0], F.xxhash64(*plain))
+    return hashed.mapInArrow(run, schema)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:

@@ -91,6 +91,25 @@ def test_cascade_table(spark):
     assert url_filter.mark_listed(rows, "key", none).where("listed").count() == 0
 
 
+def test_cascade_beyond_the_cache(spark):
+    """With a cache smaller than any file rows are dealt by shards: right, and a task reads few files."""
+    keys = spark.range(40_000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 3 == 0).alias("listed"))
+    cascade = url_filter.build_cascade(keys, cache_bytes=1, file_bytes=500)
+    assert cascade.size > 5000 and len(cascade.files) > 10
+    rows = keys.withColumnRenamed("listed", "want").unionByName(spark.range(9000).select(F.lit("k3").alias("key"), F.lit(True).alias("want")))
+    got = url_filter.mark_listed(rows.repartition(5), "key", cascade)
+    assert "rangepartitioning" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 49_000 and got.where("listed <> want").count() == 0
+    sizes = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 20_000  # the common key's rows are in more than one task
+    held = url_filter.build_cascade(keys, file_bytes=500)
+    shard = np.arange(held.shards, dtype=np.int32).repeat(3)
+    for _ in range(3):
+        held.has(np.random.default_rng(1).permutation(shard), *hashes(len(shard), 9))
+    assert held.reads == len(held.files)  # each file once
+    assert "rangepartitioning" not in url_filter.mark_listed(rows, "key", held)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_urls(spark, pages):
     got = url_filter.judge_urls(pages, queries.URL_RULES).collect()
 
