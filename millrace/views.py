@@ -1,14 +1,19 @@
 """Materialised views: named key/value tables that batches of changes keep up to date, and a query API.
 
-A view is a series of snapshot versions, each a folder that appears in one step; the greatest is the
-current one, and ``keep`` of them stay for readers. Applying batch n twice changes nothing. Readers see
-whole versions. All goes through the file system that Spark uses.
+Keys are dealt to buckets by CRC-32. A version of a view is a small file that appears in one step and names
+the folder of each bucket; a batch writes the buckets that it touches anew and leaves the others. The
+greatest version is the current one, and ``keep`` of them stay for readers, with the buckets that they name.
+Applying batch n twice changes nothing. Readers see whole versions; a view has one writer at a time. All
+goes through the file system that Spark uses.
 """
 
 from __future__ import annotations
 
 import json
 import threading
+import uuid
+import zlib
+from collections.abc import Callable, Iterable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlparse
 
@@ -19,15 +24,18 @@ from millrace import files
 
 
 class View:
-    """Columns: key string, value string or long. ``folder`` must be shared by all that use the view."""
+    """Columns: key string, value string or long. ``folder`` must be shared by all that use the view.
+    ``buckets`` is that of the first version; a batch and a lookup cost in proportion to the buckets they touch."""
 
-    def __init__(self, spark: SparkSession, name: str, folder: str, kind: str = "string", keep: int = 3):
+    def __init__(self, spark: SparkSession, name: str, folder: str, kind: str = "string", keep: int = 3, buckets: int = 32):
         if kind not in ("string", "long"):
             raise ValueError("a view holds strings or longs")
         if keep < 2:
             raise ValueError("a view keeps the version that a new one is made from")
+        if buckets < 1:
+            raise ValueError("a view has at least one bucket")
         self.spark, self.name, self.folder, self.kind, self.keep = spark, name, folder.rstrip("/"), kind, keep
-        self.schema = f"key string, value {kind}"
+        self.schema, self._first_buckets = f"key string, value {kind}", buckets
 
     def _versions(self) -> list[int]:
         return sorted(int(n[8:]) for n in files.names(self.spark, self.folder) if n.startswith("version-") and n[8:].isdigit())
@@ -36,47 +44,81 @@ class View:
     def version(self) -> int:
         return max(self._versions(), default=-1)
 
-    def table(self) -> DataFrame:
-        version = self.version
+    def _manifest(self, version: int) -> dict:
+        """The number of buckets, and the folder of each bucket that has keys."""
         if version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/version-{version}")
+            return {"buckets": self._first_buckets, "paths": {}}
+        return json.loads(files.read_text(self.spark, f"{self.folder}/version-{version}"))
 
-    def _publish(self, rows: DataFrame, version: int) -> None:
-        files.commit(rows, self.folder, f"version-{version}")
-        for old in self._versions()[: -self.keep]:
-            files.delete(self.spark, f"{self.folder}/version-{old}")
+    def _read(self, paths: Iterable[str]) -> DataFrame:
+        at = [f"{self.folder}/{p}" for p in paths]
+        return self.spark.read.schema(self.schema).parquet(*at) if at else self.spark.createDataFrame([], self.schema)
 
-    def _base(self, batch_id: int) -> DataFrame | None:
-        """The snapshot before a batch, or None if the batch is in the view already."""
-        return None if batch_id <= self.version else self.table()
+    def table(self) -> DataFrame:
+        return self._read(self._manifest(self.version)["paths"].values())
+
+    def _apply(self, changes: DataFrame, batch_id: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Publish version ``batch_id``: the touched buckets' rows merged with ``changes`` (a row for each key)."""
+        manifest = self._manifest(self.version)
+        n, paths = manifest["buckets"], manifest["paths"]
+        bucket = F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(n)).cast("int")
+        changes = changes.persist()
+        try:
+            touched = {str(r["b"]) for r in changes.select(bucket.alias("b")).distinct().collect()}  # n at most
+            rows = merge(self._read(p for b, p in paths.items() if b in touched), changes).select("key", "value", bucket.alias("bucket"))
+            data = f"data-{batch_id}-{uuid.uuid4().hex}"
+            rows.repartition("bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{self.folder}/{data}")
+        finally:
+            changes.unpersist()
+        there = [x for x in files.names(self.spark, f"{self.folder}/{data}") if x.startswith("bucket=")]
+        now = {b: p for b, p in paths.items() if b not in touched} | {x[7:]: f"{data}/{x}" for x in there}
+        part = f"{self.folder}/_version-{uuid.uuid4().hex}"
+        files.write_text(self.spark, part, json.dumps({"buckets": n, "paths": now}))
+        if not files.move(self.spark, part, f"{self.folder}/version-{batch_id}"):
+            files.delete(self.spark, part)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Delete versions but the last ``keep``, and the buckets that none of those names."""
+        versions = self._versions()
+        kept = {p for v in versions[-self.keep :] for p in self._manifest(v)["paths"].values()}
+        for old in versions[: -self.keep]:
+            files.delete(self.spark, f"{self.folder}/version-{old}")
+        for data in (x for x in files.names(self.spark, self.folder) if x.startswith("data-")):
+            here = [f"{data}/{x}" for x in files.names(self.spark, f"{self.folder}/{data}") if x.startswith("bucket=")]
+            for path in here if any(p in kept for p in here) else [data]:
+                if path not in kept:
+                    files.delete(self.spark, f"{self.folder}/{path}")
 
     def upsert(self, changes: DataFrame, batch_id: int, order: Column | str, deleted: str | None = None) -> None:
         """Apply changes (key, value, ...): the last by ``order`` wins; a null value or a true ``deleted`` removes."""
-        base = self._base(batch_id)
-        if base is None:
+        if batch_id <= self.version:
             return
         gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
         by = F.col(order) if isinstance(order, str) else order
         last = changes.where("key is not null").groupBy("key").agg(F.max_by(F.struct(F.col("value").cast(self.kind).alias("value"), gone.alias("gone")), by).alias("c"))
-        merged = base.select("key", F.col("value").alias("old")).join(last, "key", "full_outer")
         value = F.when(F.col("c").isNull(), F.col("old")).when(~F.col("c.gone"), F.col("c.value"))
-        self._publish(merged.select("key", value.alias("value")).where("value is not null"), batch_id)
+
+        def merge(base: DataFrame, last: DataFrame) -> DataFrame:
+            merged = base.select("key", F.col("value").alias("old")).join(last, "key", "full_outer")
+            return merged.select("key", value.alias("value")).where("value is not null")
+
+        self._apply(last, batch_id, merge)
 
     def add(self, changes: DataFrame, batch_id: int, delta: str | None = None) -> None:
         """Add to each key its rows' ``delta``, or their number without one."""
         if self.kind != "long":
             raise ValueError(f"view {self.name} doesn't hold numbers")
-        base = self._base(batch_id)
-        if base is None:
+        if batch_id <= self.version:
             return
         parts = changes.where("key is not null").groupBy("key").agg((F.sum(delta) if delta else F.count("*")).cast("long").alias("value"))
-        both = base.unionByName(parts).groupBy("key").agg(F.sum("value").alias("value"))
-        self._publish(both, batch_id)
+        self._apply(parts, batch_id, lambda base, new: base.unionByName(new).groupBy("key").agg(F.sum("value").alias("value")))
 
     def lookup(self, key: str):
-        """The key's value, or None; the filter reaches the file scan."""
-        row = self.table().where(F.col("key") == key).first()
+        """The key's value, or None; only the key's bucket is read, and the filter reaches the file scan."""
+        manifest = self._manifest(self.version)
+        path = manifest["paths"].get(str(zlib.crc32(key.encode()) % manifest["buckets"]))
+        row = None if path is None else self._read([path]).where(F.col("key") == key).first()
         return None if row is None else row["value"]
 
     def lookup_long(self, key: str) -> int | None:

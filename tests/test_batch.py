@@ -18,7 +18,7 @@ from millrace.sources import unzoned, zoned
 from millrace.sources.sqlite_cdc import CdcConfig, CdcSource
 from millrace.sources.topics import Catalog, Consumer, Topic
 from millrace.streaming.stream import Stream
-from millrace.views import Registry
+from millrace.views import Registry, View
 
 T0 = datetime(2024, 1, 1)
 
@@ -336,6 +336,28 @@ def test_views_keep_few_versions(spark, tmp_path):
     assert view.version == 5 and rows(view.table()) == [("a", 6), ("b", 6)] and len(view._versions()) == 3
 
 
+def test_view_buckets(spark, tmp_path):
+    """A batch writes the buckets of its keys only; old buckets stay while a kept version names them."""
+    import os
+
+    view = View(spark, "v", str(tmp_path), buckets=8)
+    schema = "key string, value string, n int"
+    view.upsert(spark.createDataFrame([(f"k{i}", str(i), 0) for i in range(60)] + [(None, "x", 0), ("ключ", "v", 0)], schema), 0, "n")
+    first = view._manifest(0)["paths"]
+    assert len(first) == 8 and view.lookup("k7") == "7" and view.lookup("ключ") == "v" and view.lookup("no") is None
+    for batch in range(1, 6):
+        view.upsert(spark.createDataFrame([("k7", f"new{batch}", batch)], schema), batch, "n")
+    now = view._manifest(5)["paths"]
+    assert sum(now[b] == first[b] for b in first) == 7 and view.lookup("k7") == "new5" and view.size() == 61
+    assert len([x for x in os.listdir(tmp_path) if x.startswith("data-")]) == 4  # the first and those of three versions
+    view.upsert(spark.createDataFrame([], schema), 6, "n")
+    assert view.version == 6 and view.size() == 61
+    view.upsert(spark.createDataFrame([(k, None, 1) for k in [f"k{i}" for i in range(60)] + ["ключ"]], schema), 7, "n")
+    assert view.size() == 0 and view._manifest(7)["paths"] == {} and view.lookup("k7") is None
+    with pytest.raises(ValueError):
+        View(spark, "v", str(tmp_path), buckets=0)
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         fn.from_big_endian(fn.big_endian(F.lit(258))).alias("n"), fn.from_big_endian(fn.big_endian(F.lit(-1))).alias("u"), fn.from_big_endian(F.lit(b"abc")).alias("short"),
