@@ -30,11 +30,14 @@ _NOT_UPPER = re.compile(r"[a-zß-öø-ÿ]")
 OWN = 14
 #: Features of a line: its own, the previous line's, the next line's, whether it is first or last, one.
 WIDTH = 3 * OWN + 3
+#: Lines whose features are turned into an array at once.
+BLOCK = 1 << 14
 
 
 def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(features, weights) of the lines with a word; a text without any is one line of no length."""
-    rows, seen = [], set()
+    """(features, weights) of the lines with a word; a text without any is one line of no length. Rows become
+    arrays by blocks, so that a text of very many lines costs numbers and not objects."""
+    blocks, rows, seen = [], [], set()
     for line in text.split("\n"):
         words = line.split()
         if not words:
@@ -53,9 +56,12 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
             len(line),
         ))
         seen.add(lower)
-    if not rows:
+        if len(rows) == BLOCK:
+            blocks.append(np.array(rows, np.float32))
+            rows = []
+    if not rows and not blocks:
         return np.concatenate([np.zeros((1, 3 * OWN)), [[1.0, 1.0, 1.0]]], 1).astype(np.float32), np.ones(1, np.float32)
-    own = np.array(rows, np.float32)
+    own = np.concatenate([*blocks, np.array(rows, np.float32).reshape(-1, OWN + 1)])
     out = np.zeros((len(own), WIDTH), np.float32)
     out[:, :OWN] = own[:, :OWN]
     out[1:, OWN : 2 * OWN] = own[:-1, :OWN]

@@ -114,6 +114,16 @@ def test_drop_rejected_matches_rows(spark, hard_documents):
     assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted(want, key=str)
 
 
+def test_line_features_in_blocks(monkeypatch):
+    """The same features whatever the blocks are."""
+    text = "\n".join(f"line {i % 7} of, the Text{'!' * (i % 3)}" if i % 5 else " " for i in range(50))
+    want = crf_quality.line_features(text)
+    for size in (1, 2, 40, 41):
+        monkeypatch.setattr(crf_quality, "BLOCK", size)
+        got = crf_quality.line_features(text)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all() and len(got[0]) == 40
+
+
 def test_base_secrets(spark, hard_documents, empty_documents):
     clash = hard_documents.withColumn("secret_spans", F.lit(1)).withColumn("__base", F.lit(2)).withColumn("___BLANK", F.lit(3)).withColumn("a.b", F.lit(4))
     for rules in (None, secrets.EntropyRules(parts=True)):
