@@ -7,9 +7,13 @@ batches; each batch keeps the next ones in a file, so that the log isn't read fo
 
 from __future__ import annotations
 
+import base64
 import json
 import re
+import threading
 import uuid
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +46,13 @@ class Topic:
         rows = self.read().select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "timestamp", F.lit(name).alias("topic"), "partition", "offset")
         return rows.to(self.spark.createDataFrame([], RECORD).schema)
 
-    def produce(self, rows: DataFrame, batch: int, order: list[str], timestamp: Column | None = None) -> None:
-        """Append rows (key, value) as batch number ``batch``, routed by key, in ``order`` within a partition."""
+    def produce(self, rows: DataFrame, batch: int, order: list[str], timestamp: Column | None = None, partition: Column | None = None) -> None:
+        """Append rows (key, value) as batch number ``batch``, routed by key, in ``order`` within a partition.
+        ``partition`` takes the place of the routing."""
         if batch in self._batches():
             return
         earlier = self._next_offsets(batch)
-        routed = route(rows, "key", self.partitions, F.xxhash64(*order))
+        routed = route(rows, "key", self.partitions, F.xxhash64(*order)) if partition is None else rows.withColumn("partition", partition.cast("int"))
         numbered = with_offsets(routed, order)
         base = F.element_at(F.array(*(F.lit(n).cast("long") for n in earlier)), F.col("partition") + 1)
         out = numbered.select("partition", (F.col("offset") + base).alias("offset"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), (timestamp if timestamp is not None else F.current_timestamp()).alias("timestamp"))
@@ -101,6 +106,92 @@ class Catalog:
         rows = [(n, p, at) for n in self.names() for p, at in enumerate(self.get(n).next_offsets())]
         return self.spark.createDataFrame(rows, "topic string, partition int, next_offset long")
 
+    def serve(self, port: int = 0) -> ThreadingHTTPServer:
+        """Answer over HTTP in JSON; call shutdown() on the result to stop.
+
+        ``POST /admin/create_topic?topic&partitions``; ``GET /metadata[?topic]``: partitions and next offsets;
+        ``POST /produce?topic[&key][&partition]``: the body is one record; ``GET
+        /consume?topic&group&partition[&max]``: the next records of the group, at most 100 by default, in
+        base 64, and the group goes on behind them. 400 for a missing or bad parameter, 404 for an unknown
+        topic or path. Each record produced here is a batch, in a Spark job: many records go in by
+        ``Topic.produce``.
+        """
+        server = ThreadingHTTPServer(("127.0.0.1", port), type("Handler", (_Handler,), {"catalog": self, "lock": threading.Lock()}))
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        return server
+
+
+class _Handler(BaseHTTPRequestHandler):
+    catalog: Catalog
+    lock: threading.Lock
+
+    def do_GET(self):  # noqa: N802
+        self._answer({"/metadata": self._metadata, "/consume": self._consume})
+
+    def do_POST(self):  # noqa: N802
+        self._answer({"/admin/create_topic": self._create, "/produce": self._produce})
+
+    def _answer(self, paths: dict) -> None:
+        url = urlparse(self.path)
+        body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
+        try:
+            if url.path not in paths:
+                raise KeyError(f"nothing at {url.path}")
+            with self.lock:  # one writer of a topic and of a group at a time
+                status, out = 200, paths[url.path]({k: v[0] for k, v in parse_qs(url.query, keep_blank_values=True).items()}, body)
+        except KeyError as e:
+            status, out = 404, {"error": str(e.args[0])}
+        except ValueError as e:
+            status, out = 400, {"error": str(e)}
+        except Exception as e:  # noqa: BLE001  the client gets it
+            status, out = 500, {"error": str(e).splitlines()[0]}
+        data = json.dumps(out).encode()
+        self.send_response(status)
+        self.send_header("Content-Type", "application/json")
+        self.send_header("Content-Length", str(len(data)))
+        self.end_headers()
+        self.wfile.write(data)
+
+    @staticmethod
+    def _given(query: dict[str, str], name: str) -> str:
+        if not query.get(name):
+            raise ValueError(f"missing {name}")
+        return query[name]
+
+    def _create(self, query, body) -> dict:
+        topic = self.catalog.create(self._given(query, "topic"), int(self._given(query, "partitions")))
+        return {"topic": query["topic"], "partitions": topic.partitions}
+
+    def _metadata(self, query, body) -> dict:
+        names = [query["topic"]] if query.get("topic") else self.catalog.names()
+        return {"topics": [{"topic": n, "partitions": [{"id": p, "next": at} for p, at in enumerate(self.catalog.get(n).next_offsets())]} for n in names]}
+
+    def _partition(self, topic: Topic, text: str) -> int:
+        if not 0 <= int(text) < topic.partitions:
+            raise ValueError(f"topic has partitions 0 to {topic.partitions - 1}")
+        return int(text)
+
+    def _produce(self, query, body) -> dict:
+        topic = self.catalog.get(self._given(query, "topic"))
+        fixed = self._partition(topic, query["partition"]) if query.get("partition") else None
+        before, batch = topic.next_offsets(), max(topic._batches(), default=-1) + 1
+        row = topic.spark.createDataFrame([(query.get("key") or None, body.decode())], "key string, value string")
+        topic.produce(row, batch, ["value"], partition=None if fixed is None else F.lit(fixed))
+        at = next(p for p, (a, b) in enumerate(zip(before, topic.next_offsets(), strict=True)) if a != b)
+        return {"topic": query["topic"], "partition": at, "offset": before[at]}
+
+    def _consume(self, query, body) -> dict:
+        name, group, p = (self._given(query, n) for n in ("topic", "group", "partition"))
+        topic = self.catalog.get(name)
+        reader = Consumer(topic, group, self._partition(topic, p), topic.partitions)  # as many members as partitions
+        most = int(query["max"]) if query.get("max", "").isdigit() and int(query["max"]) else 100
+        records = [{"offset": r["offset"], "partition": r["partition"], "payload": base64.b64encode((r["value"] or "").encode()).decode()} for r in reader.poll(most).collect()]
+        reader.commit()
+        return {"records": records, "next": reader.positions()[int(p)], "partition": int(p)}
+
+    def log_message(self, *_):
+        pass
+
 
 class Consumer:
     """A member of a group that reads a topic: it has a contiguous block of the partitions.

@@ -1,5 +1,6 @@
 """Operators over static frames, by literal cases."""
 
+import base64
 import json
 import random
 import sqlite3
@@ -302,6 +303,34 @@ def test_catalog_and_consumers(spark, tmp_path):
         Consumer(topic, "g", 2, 2)
 
 
+def test_topics_over_http(spark, tmp_path):
+    server = Catalog(spark, str(tmp_path)).serve()
+
+    def ask(path, body=None):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", data=body)) as r:
+                return r.status, json.load(r)
+        except urllib.error.HTTPError as e:
+            return e.code, json.load(e)
+
+    try:
+        assert ask("/admin/create_topic?topic=t&partitions=2", b"") == (200, {"topic": "t", "partitions": 2})
+        for bad in ("/admin/create_topic?topic=t&partitions=0", "/admin/create_topic?topic=u&partitions=x", "/admin/create_topic?partitions=1", "/produce?topic=t&partition=2", "/produce"):
+            assert ask(bad, b"x")[0] == 400, bad
+        assert ask("/produce?topic=no", b"x")[0] == 404 and ask("/metadata?topic=no")[0] == 404 and ask("/no")[0] == 404
+        assert ask("/produce?topic=t&partition=1", "é1".encode()) == (200, {"topic": "t", "partition": 1, "offset": 0})
+        assert ask("/produce?topic=t&partition=1", b"b") == (200, {"topic": "t", "partition": 1, "offset": 1})
+        first, again = (ask("/produce?topic=t&key=k", b"c")[1] for _ in range(2))
+        assert again == {**first, "offset": first["offset"] + 1}
+        assert sum(p["next"] for p in ask("/metadata")[1]["topics"][0]["partitions"]) == 4
+        code, got = ask("/consume?topic=t&group=g&partition=1&max=1")
+        assert code == 200 and got["next"] == 1 and [base64.b64decode(r["payload"]).decode() for r in got["records"]] == ["é1"]
+        assert ask("/consume?topic=t&group=g&partition=1")[1]["records"][0]["offset"] == 1
+        assert ask("/consume?topic=t&group=g&partition=7")[0] == 400 and ask("/consume?topic=t&group=g")[0] == 400
+    finally:
+        server.shutdown()
+
+
 def test_late_demo(spark):
     demo = jobs.late_demo(spark, 50_000, seed=3)
     lines = [r["value"] for r in demo.orderBy("arrival").collect()]
