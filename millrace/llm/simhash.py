@@ -15,6 +15,9 @@ pairs but a spanning forest of its links; components then join the forests.
 differ, too many for blocks, so its fingerprints have 256 bits and its cells are tables of sampled bits:
 many enough that a pair at the bound meets in one with a chance of ``RECALL``. Pivots discard, distances
 build the forests, nearest pairs first, and the exact Jaccard similarity of the forests' pairs decides.
+What that leaves out is found by an exact prefix filter: with shingles in one order for all texts, two sets
+at the bound share one among the first of each, so the texts that the links found so far don't join
+meet by these shingles. Sizes, places and counts of shingles by hash discard pairs, none of them a similar one.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import fresh, shuffle_partitions, slices, small_or_shuffled, text_column, written
@@ -36,6 +39,11 @@ from millrace.llm.components import components
 BITS, SEED, CELL_ROWS, BATCH_ROWS = 64, 42, 512, 100_000
 #: Words of a wide fingerprint, the chance that a pair at the bound meets, and standard deviations of its distance.
 WORDS, RECALL, SPREAD = 4, 0.97, 2.33
+#: Counters of a set's shingles, shingles in a part of a large cell, and for their order: texts whose shingles are
+#: counted, the count that makes one frequent, the most frequent ones that are told from others.
+COUNTERS, CELL_SHINGLES, ORDER_TEXTS, ORDER_COUNT, ORDER_SHINGLES = 128, 1 << 20, 20_000, 4, 1 << 17
+#: Rows with counters that a worker holds at once, or one cell's.
+WIDE_ROWS = 16_384
 
 
 def shingle_hashes(text: str, shingle: int) -> list[np.ndarray]:
@@ -289,16 +297,19 @@ def shingle_rows(documents: DataFrame, shingle: int, keep: bool) -> DataFrame:
 
 def similar_links(documents: DataFrame, classes: DataFrame, similarity: float, shingle: int, n_pivots: int = 16, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (a long, b long) between classes (fp, w0 to w3, first: a row's doc_id and text_hash; written)
-    whose sets of shingles have a Jaccard similarity of ``similarity`` or more, which is checked exactly."""
+    whose sets of shingles have a Jaccard similarity of ``similarity`` or more, which is checked exactly:
+    not all of them, but enough that components are the same."""
+    near = written(near_links(documents, classes, similarity, shingle, n_pivots, cell_rows), "near-links")
+    return near.unionByName(other_links(documents, classes, near, similarity, shingle, cell_rows))
+
+
+def near_links(documents: DataFrame, classes: DataFrame, similarity: float, shingle: int, n_pivots: int, cell_rows: int) -> DataFrame:
+    """Links between classes that the forests of wide fingerprints find; some may be missing."""
     words = [f"w{w}" for w in range(WORDS)]
     bits = BITS * WORDS
     met = _meet(classes, "fp", words, sampled_tables(classes.count(), similarity, bits), bound_of(similarity, bits), n_pivots, cell_rows, steps=4)
     pairs = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    doc, text = fresh(documents, "doc", "text")
-    chosen = written(classes.join(ends, "fp", "left_semi").select(F.col("first.doc_id").alias(doc), F.col("first.text_hash").alias(text)), "ends")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text_column()) == F.col(text))
-    sets = written(shingle_rows(documents.join(small_or_shuffled(chosen), same, "left_semi"), shingle, keep=True).dropDuplicates(["fp"]), "sets")
+    sets = sets_of(documents, classes.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi"), shingle)
     of_a = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x"))
     of_b = sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
@@ -307,13 +318,250 @@ def similar_links(documents: DataFrame, classes: DataFrame, similarity: float, s
     return pairs.join(of_a, "a").join(of_b, "b").where(alike).select("a", "b")
 
 
+def sets_of(documents: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """(fp, hashes) of classes; written."""
+    doc, text = fresh(documents, "doc", "text")
+    chosen = written(classes.select(F.col("first.doc_id").alias(doc), F.col("first.text_hash").alias(text)), "ends")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text_column()) == F.col(text))
+    return written(shingle_rows(documents.join(small_or_shuffled(chosen), same, "left_semi"), shingle, keep=True).dropDuplicates(["fp"]), "sets")
+
+
+def frequent_shingles(documents: DataFrame, classes: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of shingles that many of about ``ORDER_TEXTS`` classes have, rarer ones first. They only say which
+    shingles come last in the order of the prefixes: links are the same in any order, cells are small in this one."""
+    some = classes.where(F.pmod("fp", F.lit(max(1, classes.count() // ORDER_TEXTS))) == 0)
+    counts = sets_of(documents, some, shingle).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= ORDER_COUNT)
+    top = counts.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).select("h").toArrow()
+    return np.asarray(top["h"], np.int64)[::-1].view(np.uint64).copy() if len(top) else np.zeros(0, np.uint64)
+
+
+def prefix(hashes: np.ndarray, least: Fraction, known: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first of a set's sorted hashes, so many that a set of a Jaccard similarity of ``least`` or more has one
+    of them among its own first: by value, then those of ``known`` (sorted) by their ``place``."""
+    n = len(hashes)
+    first = n - math.ceil(least * n) + 1 if n else 0
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hashes = hashes[np.argsort(np.where(known[at] == hashes, place[at], -1), kind="stable")]
+    return hashes[:first]
+
+
+def counters(hashes: np.ndarray, count: int = COUNTERS) -> np.ndarray:
+    """How many of a set's hashes fall on each of ``count`` remainders, a byte each (255 for more). Sets that
+    differ by d hashes have counters that differ by at most d in all."""
+    return np.minimum(np.bincount((hashes % np.uint64(count)).astype(np.int64), minlength=count), 255).astype(np.uint8)
+
+
+def _counters_for(size: int) -> int:
+    """Counters, a power of two, that tell sets of ``size`` hashes that share little."""
+    return max(COUNTERS, 1 << max(0, size // 4 - 1).bit_length())
+
+
+def prefix_rows(documents: DataFrame, shingle: int, least: Fraction, frequent: np.ndarray) -> DataFrame:
+    """(fp, size, tokens, c0 to c15, wide) for each row: its set's hash, number of shingles, prefix and counters;
+    wide has more counters if the set is large, else it is empty."""
+    known, place, names = np.sort(frequent), np.argsort(frequent), [f"c{i}" for i in range(COUNTERS // 8)]
+
+    def run(batches):
+        for batch in slices(batches):
+            sets = [shingle_set(t, shingle) for t in batch.column(0).to_pylist()]
+            fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            first = [prefix(h, least, known, place) for h in sets]
+            tokens = pa.ListArray.from_arrays(np.cumsum([0, *map(len, first)]).astype(np.int32), np.concatenate([*first, np.zeros(0, "<u8")]).view(np.int64))
+            counts = np.array([counters(h) for h in sets], np.uint8).reshape(-1, COUNTERS).view(np.int64)
+            wide = [counters(h, _counters_for(len(h))).tobytes() if len(h) > 8 * COUNTERS else b"" for h in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(np.array([len(h) for h in sets], np.int64)), tokens, *(pa.array(c.copy()) for c in counts.T), pa.array(wide, pa.binary())], names=["fp", "size", "tokens", *names, "wide"])
+
+    return documents.select(text_column().alias("text")).mapInArrow(run, "fp long, size long, tokens array<long>, " + ", ".join(f"{n} long" for n in names) + ", wide binary")
+
+
+def _whole_cells(batches, keys: int):
+    """Columns of longs, sorted by the first ``keys``, as matrices of about ``WIDE_ROWS`` rows that cut no cell,
+    and a last column of bytes."""
+    held, size = [], 0
+    for batch in batches:
+        last = np.empty(batch.num_rows, object)
+        last[:] = batch.column(batch.num_columns - 1).to_pylist()
+        held.append((np.stack([np.asarray(c, np.int64) for c in batch.columns[:-1]], 1), last))
+        size += batch.num_rows
+        if size >= WIDE_ROWS:
+            rows, last = (np.concatenate([h[k] for h in held]) for k in range(2))
+            same = (rows[:, :keys] == rows[-1, :keys]).all(1)
+            cut = 0 if same.all() else len(rows) - int(same[::-1].argmin())
+            if cut:
+                yield rows[:cut], last[:cut]
+            held, size = [(rows[cut:], last[cut:])], len(rows) - cut
+    if size:
+        yield tuple(np.concatenate([h[k] for h in held]) for k in range(2))
+
+
+def _wide_differ(x: bytes, y: bytes) -> int:
+    """By how much two sets' wide counters differ in all; the longer ones are folded. 0 if one is empty."""
+    if not x or not y:
+        return 0
+    few = min(len(x), len(y))
+    a, b = (np.frombuffer(c, np.uint8).reshape(-1, few).sum(0, dtype=np.int64) for c in (x, y))
+    return int(np.abs(a - b).sum())
+
+
+def _prefix_forest(rows: np.ndarray, wide: np.ndarray, least: Fraction) -> list[tuple[int, int]]:
+    """Spanning forest, as row numbers, of the pairs in cells that may be similar; rows (token, i, j, own, fp, root,
+    size, pos, c0 to c15) are sorted by the first three."""
+    p, q = least.numerator, least.denominator
+    cell, own, root, size, rest = rows[:, :3], rows[:, 3], rows[:, 5], rows[:, 6], rows[:, 6] - rows[:, 7]
+    edge = np.concatenate([[True], (cell[1:] != cell[:-1]).any(1)])
+    number, counts = np.cumsum(edge), rows[:, 8:].copy().view(np.uint8)
+    tree, out = np.arange(len(rows)), []
+
+    def find(n: int) -> int:
+        while tree[n] != n:
+            tree[n] = tree[tree[n]]
+            n = int(tree[n])
+        return n
+
+    live, step = np.arange(len(rows) - 1), 1
+    while len(live):
+        live = live[live + step < len(rows)]
+        live = live[number[live] == number[live + step]]
+        a = live[tree[live] != tree[live + step]]
+        b = a + step
+        # rows of two parts meet in their common cell, rows of one part in its own
+        ok = (root[a] != root[b]) & ((own[a] != own[b]) | (cell[a, 1] == cell[a, 2]))
+        ok &= np.minimum(size[a], size[b]) * q >= np.maximum(size[a], size[b]) * p
+        # nothing before the first shingle that they share is common
+        ok &= np.minimum(rest[a], rest[b]) * (p + q) >= (size[a] + size[b]) * p
+        a, b = a[ok], b[ok]
+        differ = np.abs(counts[a].astype(np.int16) - counts[b]).sum(1, dtype=np.int64)
+        ok = differ * (p + q) <= (size[a] + size[b]) * (q - p)
+        for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+            u, v = find(x), find(y)
+            if u != v and _wide_differ(wide[x], wide[y]) * (p + q) <= int(size[x] + size[y]) * (q - p):
+                tree[max(u, v)] = min(u, v)
+                out.append((x, y))
+        if ok.any():
+            while not (tree[tree] == tree).all():
+                tree[:] = tree[tree]
+        step += 1
+    return out
+
+
+def _parts(rows: Column, shingles: Column, cell_rows: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(rows / cell_rows), F.ceil(shingles / CELL_SHINGLES)).cast("long")
+
+
+def prefix_forest(prefixes: DataFrame, least: Fraction, cell_rows: int) -> DataFrame:
+    """Edges (a long, b long) between classes of different roots that may be similar: not each such pair, but enough
+    that the pairs' ends are connected. ``prefixes`` (written) has the columns of ``prefix_rows`` and root.
+
+    A cell has the rows with one shingle in their prefix. One with more than ``cell_rows`` rows (or many shingles) is cut:
+    the rows of its commonest root, which needn't meet, into some parts, the others into more; every two parts meet.
+    """
+    names = [*(f"c{i}" for i in range(COUNTERS // 8)), "wide"]
+    of_token, of_root = Window.partitionBy("token"), Window.partitionBy("token", "root")
+    tokens = prefixes.select("fp", "root", "size", F.posexplode("tokens").alias("pos", "token"))
+    dealt = tokens.repartition(shuffle_partitions(prefixes.sparkSession), "token")
+    live = dealt.select("*", F.min("root").over(of_token).alias("lo"), F.max("root").over(of_token).alias("hi")).where("lo <> hi").drop("lo", "hi")
+    live = live.select("*", F.count("*").over(of_root).alias("m"), F.sum("size").over(of_root).alias("s"))
+    live = live.select("*", F.max(F.struct("m", "s", "root")).over(of_token).alias("top"), F.count("*").over(of_token).alias("n"), F.sum("size").over(of_token).alias("total"))
+    live = written(live, "live")
+
+    small, major = (F.col("n") <= cell_rows) & (F.col("total") <= CELL_SHINGLES), F.col("root") == F.col("top.root")
+    of_major = _parts(F.col("top.m"), F.col("top.s"), cell_rows)
+    of_others = _parts(F.col("n") - F.col("top.m"), F.col("total") - F.col("top.s"), cell_rows)
+    hashed, zero = F.xxhash64("fp"), F.lit(0).cast("long")
+    own = F.when(small, zero).when(major, F.pmod(hashed, F.col("p"))).otherwise(F.col("p") + F.pmod(hashed, F.col("o")))
+    others = F.when(small, F.array(zero)).when(major, F.sequence(F.col("p"), F.col("p") + F.col("o") - 1)).otherwise(F.sequence(zero, F.col("p") + F.col("o") - 1))
+    cut = live.withColumn("p", of_major).withColumn("o", of_others).withColumn("own", own).withColumn("other", F.explode(others))
+    cut = cut.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "root", "size", F.col("pos").cast("long").alias("pos"))
+    rows = cut.join(prefixes.select("fp", *names), "fp").select(*cut.columns, *names)
+
+    def run(batches):
+        for cells, wide in _whole_cells(batches, 3):
+            found = np.array(_prefix_forest(cells, wide, least), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(cells[found[:, k], 4]) for k in range(2)], names=["a", "b"])
+
+    met = rows.repartition(shuffle_partitions(prefixes.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def _cell_links(own: np.ndarray, fp: list[int], root: list[int], sets: list[np.ndarray], whole: bool, least: Fraction) -> list[tuple[int, int]]:
+    """Of the similar pairs in a cell so many that they connect the same roots; pairs of one part only if ``whole``."""
+    p, q = least.numerator, least.denominator
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    own, size, ends = own[order], size[order], np.array(root)[order]
+    counts = np.array([counters(sets[k], min(4096, _counters_for(int(size[-1])))) for k in order]).astype(np.int16)
+    tree, out = {r: r for r in root}, []
+
+    def find(r: int) -> int:
+        while tree[r] != r:
+            tree[r] = tree[tree[r]]
+            r = tree[r]
+        return r
+
+    for a in range(len(order)):
+        b = np.arange(a + 1, int(np.searchsorted(size, int(size[a]) * q // p, "right")))
+        b = b[(ends[b] != ends[a]) & (whole | (own[b] != own[a]))]
+        b = b[np.abs(counts[b] - counts[a]).sum(1, dtype=np.int64) * (p + q) <= (size[b] + size[a]) * (q - p)]
+        x = sets[order[a]]
+        for k in b.tolist():
+            u, v, y = find(int(ends[a])), find(int(ends[k])), sets[order[k]]
+            if u != v:
+                both = int(np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y))
+                if both * (p + q) >= (len(x) + len(y)) * p:
+                    tree[u] = v
+                    out.append((fp[order[a]], fp[order[k]]))
+    return out
+
+
+def other_links(documents: DataFrame, classes: DataFrame, near: DataFrame, similarity: float, shingle: int, cell_rows: int) -> DataFrame:
+    """The links between components of ``near`` (written), by prefixes: with them components are exact.
+
+    Pairs that may be similar make families, each a cell where a set comes once and all its pairs are compared;
+    a family of more than ``cell_rows`` rows (or many shingles) is cut into parts, and every two parts meet."""
+    least = Fraction(str(similarity))
+    roots = small_or_shuffled(written(components(near).select(F.col("node").alias("fp"), "root"), "near-roots"))
+    prefixes = prefix_rows(documents, shingle, least, frequent_shingles(documents, classes, shingle)).dropDuplicates(["fp"])
+    prefixes = written(prefixes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "prefixes")
+    families = components(prefix_forest(prefixes, least, cell_rows)).select(F.col("node").alias("fp"), F.col("root").alias("family"))
+    families = written(families, "families")
+    ends = written(prefixes.select("fp", "root", "size").join(small_or_shuffled(families), "fp"), "members")
+    cells = ends.groupBy("family").agg(_parts(F.count("*"), F.sum("size"), cell_rows).alias("parts"))
+    cells = ends.join(small_or_shuffled(written(cells, "family-parts")), "family").withColumn("own", F.pmod(F.xxhash64("fp"), "parts"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = cells.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "root")
+    sets = sets_of(documents, classes.join(families.select("fp"), "fp", "left_semi"), shingle)
+
+    def run(batches):
+        at, cell = None, []
+        for batch in batches:
+            for part in slices([batch]):
+                hashes = part.column(6)
+                for n, row in enumerate(zip(*(c.to_pylist() for c in part.columns[:6]), strict=True)):
+                    if row[:3] != at:
+                        yield from done(at, cell)
+                        at, cell = row[:3], []
+                    cell.append((*row[3:], np.array(hashes[n].values).view(np.uint64)))
+        yield from done(at, cell)
+
+    def done(at, cell):
+        if len(cell) > 1:
+            own, fp, root, sets = zip(*cell, strict=True)
+            found = np.array(_cell_links(np.array(own), fp, root, sets, at[1] == at[2], least), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, k].copy()) for k in range(2)], names=["a", "b"])
+
+    rows = cells.join(sets, "fp").select("family", "i", "j", "own", "fp", "root", "hashes")
+    dealt = rows.repartition(shuffle_partitions(documents.sparkSession), "family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def near_copies(documents: DataFrame, similarity: float = 0.8, shingle: int = 5, n_pivots: int = 16, cell_rows: int = CELL_ROWS) -> DataFrame:
     """For each row: doc_id, component_id, text_hash (xxhash64 of the text), root (of its component).
 
     Texts are linked if their sets of ``shingle``-word shingles (a text of fewer words is one shingle; A-Z in
     lower case, words between ASCII white space) have a Jaccard similarity of ``similarity`` or more; every link
-    is checked exactly. Pairs are found by wide fingerprints: a pair just at the bound is found with a chance of
-    about ``RECALL``, a more similar one nearly surely. Texts without words, null and empty ones too, are one
+    is checked exactly. Most are found by wide fingerprints; an exact search by prefixes finds those that they
+    leave out, so components are those of all links. Texts without words, null and empty ones too, are one
     class; texts of the same shingles are one class too. component_id is the smallest doc_id that links reach,
     or null if there is none; an empty table gives no rows.
     """

@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -214,6 +215,69 @@ def test_near_copies_by_brute_force(spark, cell_rows):
     assert len(set(got.values())) <= 1.05 * len(set(of.values()))
 
 
+def exact_components(texts):
+    sets = [brute.shingles(t) for t in texts]
+    return brute.components(range(len(texts)), [(a, b) for b in range(len(sets)) for a in range(b) if brute.similar(sets[a], sets[b])])
+
+
+@pytest.mark.parametrize("cell_rows", [512, 40])
+def test_near_copies_leave_out_no_link(spark, cell_rows):
+    """Pairs just at the bound too, and texts that only some of a large group's texts are similar to."""
+    texts = [t for seed in (8, 9) for t in varied(seed)]
+    rnd = random.Random(11)
+    base = [f"u{rnd.randrange(3000)}" for _ in range(150)]
+    for n in range(300):
+        copy = list(base)
+        for _ in range(n % 7):
+            copy[rnd.randrange(len(copy))] = f"x{n}"
+        texts.append(" ".join(copy))
+    for n in range(400):  # 4m shingles of 5m are shared: a similarity of 0.8 itself
+        m = rnd.randint(2, 30)
+        words = [f"p{n}_{i}" for i in range(5 * m + 4)]
+        texts += [" ".join(words[: 4 * m + 4]), " ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs, cell_rows=cell_rows).collect()}
+    assert got == exact_components(texts)
+
+
+@pytest.mark.parametrize("cell_rows, shingles", [(512, 1 << 20), (20, 1 << 20), (512, 3000)])
+def test_prefixes_find_all_links(spark, cell_rows, shingles, monkeypatch):
+    """The exact search alone, with cells whole and cut, after none and after some of the links."""
+    monkeypatch.setattr(simhash, "CELL_SHINGLES", shingles)
+    texts = varied(10)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    classes = simhash.shingle_rows(docs, 5, keep=False).groupBy("fp").agg(F.min("doc_id").alias("least"), first).localCheckpoint()
+    ids = {r["fp"]: r["least"] for r in classes.collect()}
+    of = exact_components(texts)
+    near = spark.createDataFrame([], "a long, b long")
+    for part in (0, 1):
+        found = [(ids[a], ids[b]) for a, b in simhash.other_links(docs, classes, near, 0.8, 5, cell_rows).collect()]
+        known = [(ids[a], ids[b]) for a, b in near.collect()]
+        joined = brute.components(ids.values(), found + known)
+        assert all(joined[d] == of[d] for d in ids.values())
+        fps = {d: f for f, d in ids.items()}
+        near = spark.createDataFrame([(fps[a], fps[b]) for a, b in found[::2]], "a long, b long")
+
+
+def test_prefix_holds_a_common_shingle():
+    rng = np.random.default_rng(5)
+    known = np.sort(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+    place = rng.permutation(len(known))
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        pool = np.unique(np.concatenate([rng.choice(known, n), rng.integers(0, 1 << 63, n).astype(np.uint64)]))
+        x = np.sort(rng.choice(pool, min(n, len(pool)), replace=False))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.integers(0, 1 << 63, int(rng.integers(0, 5))).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        a, b = (simhash.prefix(s, Fraction(4, 5), known, place) for s in (x, y))
+        if 5 * both >= 4 * (len(x) + len(y) - both):
+            assert len(np.intersect1d(a, b)) > 0
+        differ = np.abs(simhash.counters(x).astype(int) - simhash.counters(y)).sum()
+        assert differ <= len(x) + len(y) - 2 * both
+    assert len(simhash.prefix(np.zeros(0, np.uint64), Fraction(4, 5), known, place)) == 0
+
+
 def test_near_copies_similarity_is_exact(spark):
     """18 words are 14 shingles; 5 more shingles give 14/19 < 0.8, 3 more give 14/17, and 20 of 25 is 0.8 itself."""
     def doc(n):
